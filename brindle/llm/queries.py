@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, packing, token_counts, transport_stream
+from brindle.llm import mixing, packing, quality_rules, token_counts, transport_stream
 
 
 def tokenizer(name: str) -> str:
@@ -30,12 +30,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.digest(docs, quality_rules.learn(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(transport_stream.store(documents(spark, sf_dir)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts, op6_mixing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op4_token_counts, op6_mixing, op7_quality_rules, op10_media_columns)}
 
 
 OP6_SQL = r"""
