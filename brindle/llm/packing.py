@@ -15,8 +15,8 @@ table gives no rows.  Columns other than the id and text are ignored, so clashin
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -111,65 +111,50 @@ def pack(lengths: list[int], length: int, min_cut: int = 32) -> list[tuple[int,
     return out
 
 
-#: Fixed value: how this vocabulary splits lower-cased text; what lies between the matches is dropped.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-
-
 class _Ids(dict):
-    """Word (its ASCII letters lower-cased) -> its ids as little-endian 16- or 32-bit units.
+    """Word (its ASCII letters lower-cased) -> its ids as little-endian 16- or 32-bit units, by the library.
 
-    Words never join across white space in this vocabulary.  A word of Latin letters in composed form that isn't known is split
-    further into pre-tokens, which repeat far more often than words do; any other word goes to the library whole.
+    Words never join across white space in this vocabulary, so a text's ids are its words' ids in a row.  The words of a slice of
+    texts that aren't known yet are encoded together.  At most about ``most`` words are remembered (some 200 bytes each),
+    and a Python worker keeps them from task to task.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
-        self.split = regex.compile(SPLIT).findall
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        w = word.decode("utf-8", "replace")
-        if "<|" not in w and (w.isascii() or (max(w) < "\u0250" and is_normalized("NFC", w))):
-            pieces, out = self.pieces, []
-            for x in self.split(w.lower()):
-                got = pieces.get(x)
-                if got is None:
-                    got = self.encode(x)
-                    if len(pieces) >= self.most:
-                        pieces.clear()
-                    if len(x) <= 64:
-                        pieces[x] = got
-                out.append(got)
-            ids = b"".join(out)
-        else:
-            ids = self.encode(w)
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
         raw = as_bytes(text)
-        words = raw.lower().split() if b"<|" not in raw else [w if b"<|" in w else w.lower() for w in raw.split()]
-        return b"".join(map(self.__getitem__, words))
+        return raw.lower().split() if b"<|" not in raw else [w if b"<|" in w else w.lower() for w in raw.split()]
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 256):
+            split = [self.words(t) for t in texts[at : at + 256]]
+            if len(self) > self.most:
+                self.clear()
+            new = list(set().union(*split).difference(self))
+            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+            self.update(zip(new, [array(self.kind, e.ids).tobytes() for e in made]))
+            out += [b"".join(map(self.__getitem__, words)) for words in split]
+        return out
+
+
+_known: dict[str, _Ids] = {}
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, ids: each text's ids and then ``end_id``, as binary of 16- or 32-bit units (by the vocabulary's size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(tokenizer_path)
-        end = np.array([end_id], ids.kind).tobytes()
+        ids = _known.get(tokenizer_path) or _known.setdefault(tokenizer_path, _Ids(tokenizer_path))
+        end = array(ids.kind, [end_id]).tobytes()
         for batch in batches:
-            made = [ids.of(t) + end for t in batch.column(1).to_pylist()]
+            made = [x + end for x in ids.of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")

@@ -73,11 +73,14 @@ class TokenCounts(dict):
         return sum(map(self.__getitem__, self.split(text)))
 
 
+_known: dict[str, TokenCounts] = {}  # a Python worker proves and remembers once, not once a task
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = TokenCounts(tokenizer_path)
+        counts = _known.get(tokenizer_path) or _known.setdefault(tokenizer_path, TokenCounts(tokenizer_path))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = pa.array([counts.count(t) for t in texts], pa.int64())
