@@ -14,6 +14,7 @@ table gives no rows.  Columns other than the id and text are ignored, so clashin
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -121,6 +122,7 @@ class _Ids(dict):
 
     def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most

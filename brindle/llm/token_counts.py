@@ -11,6 +11,7 @@ Nulls and empty texts have 0 tokens.  Repeated rows are counted separately.  No
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ class TokenCounts(dict):
     def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
