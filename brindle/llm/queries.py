@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, packing, quality_rules, token_counts, transport_stream
+from brindle.llm import minhash, mixing, packing, quality_rules, token_counts, transport_stream
 
 
 def tokenizer(name: str) -> str:
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), length=2048, end_id=1)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -40,7 +44,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts, op6_mixing, op7_quality_rules, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op4_token_counts, op6_mixing, op7_quality_rules, op10_media_columns)}
 
 
 OP6_SQL = r"""
