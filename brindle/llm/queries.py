@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import minhash, mixing, packing, quality_rules, token_counts, transport_stream
+from brindle.llm import html_extraction, license_scan, minhash, mixing, packing, quality_rules, token_counts, transport_stream
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
@@ -39,12 +43,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(docs, quality_rules.learn(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(transport_stream.store(documents(spark, sf_dir)))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op4_token_counts, op6_mixing, op7_quality_rules, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op4_token_counts, op5_html_extraction, op6_mixing, op7_quality_rules, op9_license_scan, op10_media_columns)}
 
 
 OP6_SQL = r"""
