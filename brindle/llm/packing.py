@@ -15,9 +15,11 @@ table gives no rows.  Columns other than the id and text are ignored, so clashin
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import as_bytes
+from brindle.llm.token_counts import byte_alphabet
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -112,37 +115,77 @@ def pack(lengths: list[int], length: int, min_cut: int = 32) -> list[tuple[int,
     return out
 
 
+#: A single mark between a letter or digit and white space is a pre-token of its own.
+_MARK = re.compile(rb"[.,;:!?](?<=[a-z0-9][.,;:!?])(?=[ \n])")
+
+
 class _Ids(dict):
-    """Word (its ASCII letters lower-cased) -> its ids as little-endian 16- or 32-bit units, by the library.
+    """Word (its ASCII letters lower-cased) -> its ids as little-endian 16- or 32-bit units.
 
-    Words never join across white space in this vocabulary, so a text's ids are its words' ids in a row.  The words of a slice of
-    texts that aren't known yet are encoded together.  At most about ``most`` words are remembered (some 200 bytes each),
-    and a Python worker keeps them from task to task.
+    This vocabulary drops white space and encodes a run of letters and a run of punctuation apart, so a text's ids are its
+    words' ids in a row, and those of ``thing,`` are those of ``thing`` and of ``,``.  Words that aren't known yet are cut into such a stem and
+    tail; unknown stems of Latin letters in composed form are merged together by the library's model; any other word is encoded whole
+    by the library.  At most about ``most`` words and as many stems are remembered (some 150 bytes each), from task to task.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    TAIL = b".,;:!?)]}\"%&*#$"
+
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.library, self.most, self.stems = Tokenizer.from_file(path), most, {b"": b""}
+        self.model = Tokenizer(self.library.model)
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.kind = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
 
     @staticmethod
     def words(text: str | None) -> list[bytes]:
         raw = as_bytes(text)
-        return raw.lower().split() if b"<|" not in raw else [w if b"<|" in w else w.lower() for w in raw.split()]
+        if b"<|" in raw:  # perhaps a special string, which is matched before letters are lower-cased
+            return [w if b"<|" in w else w.lower() for w in raw.split()]
+        return _MARK.sub(rb" \g<0>", raw.lower()).split()
+
+    def encode(self, tokenizer, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: set[bytes]) -> None:
+        cut, stems, whole, tail = [], {}, [], self.TAIL
+        for w in new:
+            stem = w.rstrip(tail)
+            if stem in self.stems or stem in stems:
+                cut.append((w, stem))
+                continue
+            text = stem.decode("utf-8", "replace")
+            if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and is_normalized("NFC", text))):
+                stems[stem] = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.shown)
+                cut.append((w, stem))
+            else:
+                whole.append(w)
+        self.stems.update(zip(stems, self.encode(self.model, list(stems.values()))))
+        tails = list({w[len(s) :] for w, s in cut})
+        ends = dict(zip(tails, self.encode(self.library, [t.decode() for t in tails])))
+        known = self.stems
+        for w, s in cut:
+            self[w] = known[s] + ends[w[len(s) :]] if len(w) > len(s) else known[s]
+        self.update(zip(whole, self.encode(self.library, [w.decode("utf-8", "replace") for w in whole])))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            split = [self.words(t) for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 1024):
             if len(self) > self.most:
                 self.clear()
-            new = list(set().union(*split).difference(self))
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.update(zip(new, [array(self.kind, e.ids).tobytes() for e in made]))
-            out += [b"".join(map(self.__getitem__, words)) for words in split]
+            if len(self.stems) > self.most:
+                self.stems = {b"": b""}
+            split = [self.words(t) for t in texts[at : at + 1024]]
+            made = [list(map(self.get, words)) for words in split]
+            gaps = [[k for k, v in enumerate(m) if v is None] for m in made]
+            self.learn({words[k] for words, g in zip(split, gaps) for k in g})
+            for words, m, g in zip(split, made, gaps):
+                for k in g:
+                    m[k] = self[words[k]]
+            out += map(b"".join, made)
         return out
 
 
