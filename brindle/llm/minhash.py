@@ -11,9 +11,9 @@ is 3e-7.
 
 Within a bucket no list of all pairs is made.  First every class is paired with the smallest of its bucket; these pairs are
 checked on the full sets and joined into components.  Only buckets that still hold several components are looked at again, and
-there only pairs of classes from different components, compared by sketch in memory, go on to the check.  A pair goes
-on if its sketches agree in 60 % of bins, six standard deviations below 0.75.  Every link that the bands retrieve is so either
-verified or lies within a component already.
+there pairs of classes from different components are compared in memory, by sketch and then on the full sets, and only links that
+join two components come out.  A pair is checked if its sketches agree in 60 % of bins, six standard deviations below
+0.75.  Every link that the bands retrieve is so either verified or lies within a component already.
 
 Empty, blank and null texts have an empty set and are linked with nothing.  A null id is a document of its own that is never linked.
 Repeated rows of one id fall into one component with themselves.  Empty tables give none.
@@ -32,6 +32,8 @@ from brindle.llm.common import U, WordHash, cut, drop_cut, mix, seeds, shingle_s
 from brindle.llm.components import components
 
 BINS, ROWS = 300, 6
+#: Rows of a bucket that one task compares with each other.
+CROWD = 2000
 #: Bins that must agree before a pair's full sets are compared.
 AGREE = 0.6
 
@@ -127,43 +129,63 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles of the documents named in ``ids``."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # where rows of an id repeat, one is enough
+    return shingles(named.join(small(ids), named["doc_id"] == ids["id"], "left_semi")).groupBy("id").agg(F.max("shingles").alias("shingles"))
+
+
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives with 100 * intersection >= percent * union, by their full sets."""
     pairs = cut(spark, pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # one row of an id is enough where rows repeat: representatives' rows were grouped by their sets
-    sets = shingles(named.join(small(ids), named["doc_id"] == ids["id"], "left_semi")).groupBy("id").agg(F.max("shingles").alias("shingles"))
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("common")).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs from different components of one bucket whose sketches agree.  rows: bucket, id, component, marks."""
-    rows_in_band = ROWS
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components of a bucket, at most one for each two components that meet.
+
+    rows: bucket, band, id, component, marks, shingles.  A bucket of over CROWD rows is dealt to parts, and every two
+    parts of it are compared in a task of their own, so no task holds more than 2 * CROWD rows of it, more or less.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, comp = np.array(table.column("id")), np.array(table.column("component"))
+        table = table.sort_by("id")
+        ids, part = np.array(table.column("id")), np.array(table.column("part"))
+        comp = np.unique(np.array(table.column("component")), return_inverse=True)[1]
         m = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids, comp, m = ids[order], comp[order], m[order]
-        band = int(np.array(table.column("band"))[0])
+        flat = table.column("shingles").combine_chunks()
+        begin, values = np.array(flat.offsets), np.array(flat.values)
+        band, two = int(np.array(table.column("band"))[0]), key[1].as_py() != key[2].as_py()
         a, b = [], []
         for i in range(len(ids) - 1):
-            rest = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-            for at in range(0, len(rest), 4096):
-                j = rest[at : at + 4096]
-                same = m[j] == m[i]
-                good = same.sum(axis=1) >= AGREE * m.shape[1]
-                if band:  # a pair that shares an earlier band was found there
-                    good &= ~same[:, : band * rows_in_band].reshape(len(j), band, rows_in_band).all(axis=2).any(axis=1)
-                a += [int(ids[i])] * int(good.sum())
-                b += ids[j[good]].tolist()
+            rest = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((part[i + 1 :] != part[i]) if two else True))
+            if not len(rest):
+                continue
+            same = m[rest] == m[i]
+            good = same.sum(axis=1) >= AGREE * m.shape[1]
+            if band:  # a pair that shares an earlier band is compared there
+                good &= ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+            x = values[begin[i] : begin[i + 1]]
+            for j in rest[good].tolist():
+                if comp[i] != comp[j]:
+                    y = values[begin[j] : begin[j + 1]]
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * n >= percent * (len(x) + len(y) - n):
+                        a.append(int(ids[i]))
+                        b.append(int(ids[j]))
+                        comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+    sized = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
+    dealt = rows.join(sized, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("parts", "other")
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -183,8 +205,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     found = cut(spark, components(spark, links))
     named = buckets.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rows = named.join(mixed, "bucket").join(marks, "id").select("bucket", "band", "id", "component", "marks")
-    more = cut(spark, _verified(spark, _across(rows), docs, percent))
+    rows = cut(spark, named.join(mixed, "bucket").select("bucket", "band", "id", "component"))
+    sets = _sets(docs, rows.select("id").distinct()).join(marks, "id")
+    more = cut(spark, _across(rows.join(sets, "id"), percent))
     if not more.isEmpty():
         found = cut(spark, components(spark, links.unionByName(more)))
     drop_cut(spark, buckets)
