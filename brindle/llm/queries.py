@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import html_extraction, license_scan, minhash, mixing, packing, quality_rules, token_counts, transport_stream
+from brindle.llm import html_extraction, license_scan, minhash, mixing, packing, ppm, quality_rules, token_counts, transport_stream
 
 
 def tokenizer(name: str) -> str:
@@ -43,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(docs, quality_rules.learn(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(spark, documents(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op4_token_counts, op5_html_extraction, op6_mixing, op7_quality_rules, op9_license_scan, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op4_token_counts, op5_html_extraction, op6_mixing, op7_quality_rules, op8_lm_scoring, op9_license_scan, op10_media_columns)}
 
 
 OP6_SQL = r"""
