@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import html_extraction, license_scan, minhash, mixing, packing, ppm, quality_rules, token_counts, transport_stream
+from brindle.llm import html_extraction, license_scan, minhash, mixing, packing, ppm, quality_rules, substring_dedup, token_counts, transport_stream
 
 
 def tokenizer(name: str) -> str:
@@ -26,6 +26,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(spark, documents(spark, sf_dir), length=50)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -56,7 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op4_token_counts, op5_html_extraction, op6_mixing, op7_quality_rules, op8_lm_scoring, op9_license_scan, op10_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_token_counts, op5_html_extraction, op6_mixing, op7_quality_rules, op8_lm_scoring, op9_license_scan, op10_media_columns)}
 
 
 OP6_SQL = r"""
