@@ -59,11 +59,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     return held.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("top") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, slices: int = 512, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (and the columns in ``keep``) of every (doc_id, text, source)."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, slices: int = 512, keep_rows: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every (doc_id, text, source); with ``keep_rows`` also ``row``, the whole row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-        (-F.ln(uniform(F.col("doc_id").cast("long"))) / quality(F.col("text"))).alias("key"), *[F.col(c).alias(f"kept_{c}") for c in keep],
+        (-F.ln(uniform(F.col("doc_id").cast("long"))) / quality(F.col("text"))).alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []),
     )
     rows = rows.withColumn("slice", F.floor(F.lit(slices) * (F.lit(1.0) - F.exp(-F.col("key")))).cast("int"))
     of_source = targets(docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), weights, most)
@@ -72,11 +72,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
     plan = of_slice.alias("s").join(of_source.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "slice", "before", "source_size", "target")
     inner = W.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    kept = ["row"] if keep_rows else []
     r, p = placed.alias("r"), plan.alias("p")
     joined = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("before") + F.col("inner")).alias("begin"), *[F.col(f"kept_{c}").alias(c) for c in keep]
+        "doc_id", "size", "source_size", "target", (F.col("before") + F.col("inner")).alias("begin"), *kept
     )
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(1)).cast("long")
     left = F.col("target") - (epochs * F.col("source_size")).cast("double")
     copies = epochs + ((F.col("source_size") > 0) & (F.col("begin") + F.col("size") / F.lit(2.0) <= left) & (left > 0)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies", *keep)
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies", *kept)
