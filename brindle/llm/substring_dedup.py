@@ -9,7 +9,7 @@ the input, they never cross documents, and every one is looked at:
     them are in two documents or more.  A string whose gram is in one document alone occurs nowhere else.
 3.  Runs of strings that chose a gram in several documents go to the gram's shard as context bytes, once for each bucket however often
     a passage occurs in it, with the smallest document.
-4.  A shard builds the suffix array of its distinct contexts by induced sorting, and finds runs of suffixes that share ``length`` bytes by permuted
+4.  A shard builds the suffix array of its distinct contexts (those whose gram has several) by induced sorting, and finds runs of suffixes that share ``length`` bytes by permuted
     common prefixes.  Each run is one string, and has its smallest document in the corpus.
 5.  That goes back to the buckets, where the bytes are removed.
 
@@ -37,6 +37,31 @@ BLOBS = "bucket int, shard int, kind int, a binary, b binary, c binary, d binary
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def choose_grams(t: np.ndarray, length: int, step: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
+    """For the string of ``length`` bytes at each place, the place of the gram it chooses; and the hash of every gram.
+
+    Worked out in pieces that stay in a core's cache.
+    """
+    strings, grams = len(t) - length + 1, length - GRAM + 1
+    owner = np.empty(strings, np.int32)
+    hashes = np.empty(len(t) - GRAM + 1, np.uint64)
+    for a in range(0, strings, step):
+        b = min(strings, a + step)
+        m = b - a + grams - 1
+        x = eights(t[a : a + m + GRAM - 1])
+        with np.errstate(over="ignore"):
+            h = mix(x[:m] * U(0x9E3779B97F4A7C15) ^ mix(x[8 : m + 8]))
+        hashes[a : a + m] = h
+        least, width = (h & U(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64), 1
+        while width * 2 <= grams:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < grams:
+            least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
+        owner[a:b] = (least & U(0xFFFFFFFF)).astype(np.int32) + np.int32(a)
+    return owner, hashes
+
+
 class Bucket:
     """A bucket's texts in a row, and for every run of ``length``-byte strings in them the gram they chose."""
 
@@ -54,17 +79,7 @@ class Bucket:
             self.first = self.last = self.owner = self.hash = np.empty(0, np.int64)
             self.of = np.empty(0, np.int64)
             return
-        with np.errstate(over="ignore"):
-            x = eights(self.t)
-            h = mix(x[: n - GRAM + 1] * U(0x9E3779B97F4A7C15) ^ mix(x[8 : n - GRAM + 9]))
-        least = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        grams, width = length - GRAM + 1, 1
-        while width * 2 <= grams:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < grams:
-            least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
-        owner = (least & U(0xFFFFFFFF)).astype(np.int64)  # of each string, by its first byte
+        owner, h = choose_grams(self.t, length)  # of each string, by its first byte
         inside = np.zeros(n + 1, np.int8)  # strings that lie in one document
         long = sizes >= length
         np.add.at(inside, self.begins[long], 1)
@@ -134,35 +149,42 @@ def _shared(blobs: list[bytes]) -> np.ndarray:
 TOP = U(0xFFFFFFFFFF000000)
 
 
-def shortest_documents(names: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts and their smallest documents: where each one's strings begin in a row, and each string's smallest document over all contexts."""
-    t = np.frombuffer(b"".join(names), np.uint8)
+def shortest_documents(names: list[bytes], docs: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct contexts, their smallest documents and chosen grams: where each one's strings begin in a row, and each string's smallest document over all contexts.
+
+    Equal strings choose equal grams, so a context that is its gram's only one shares no string with another, and only the others are sorted.
+    """
     sizes = np.fromiter(map(len, names), np.int64, len(names))
-    begins = np.cumsum(sizes) - sizes
     strings = sizes - length + 1
     offset = np.cumsum(strings) - strings
-    own = np.repeat(np.arange(len(names)), strings)
-    place = np.arange(len(own)) - offset[own] + begins[own]
-    order = suffix_array(t, length)
+    out = np.repeat(docs, strings)
+    _, number, times = np.unique(grams, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[number] > 1)
+    if not len(some):
+        return offset, out
+    t = np.frombuffer(b"".join([names[i] for i in some.tolist()]), np.uint8)
+    begins = np.cumsum(sizes[some]) - sizes[some]
+    each = strings[some]
+    within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     at = np.full(len(t), -1, np.int64)
-    at[place] = np.arange(len(own))
+    at[np.repeat(begins, each) + within] = np.repeat(offset[some], each) + within
+    order = suffix_array(t, length)
     order = order[at[order] >= 0]
     run = np.flatnonzero(~np.r_[False, shared_prefixes(t, order, length)[1:]])
     string = at[order]
-    least = np.minimum.reduceat(docs[own[string]], run)
-    out = np.empty(len(own), np.int64)
-    out[string] = np.repeat(least, np.diff(np.append(run, len(order))))
+    out[string] = np.repeat(np.minimum.reduceat(out[string], run), np.diff(np.append(run, len(order))))
     return offset, out
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucket_docs: int = 1500, shards: int | None = None, texts: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucket_docs: int = 1000, shard_docs: int = 2000, shards: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or, with ``texts``, kept (binary) and crc (of the text), of every (doc_id, text).
 
-    ``length`` is 24 at least.  ``shards`` follows the session's shuffle partitions.
+    ``length`` is 24 at least.  Shards and buckets follow the number of documents, so each is
+    a few MB whatever the input.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // shard_docs))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
     size = F.octet_length("text").cast("long")
@@ -208,33 +230,36 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
         names, lo, hi, runs, which = bucket.contexts(known)
         if not names:
             return _blobs([])
-        shard = np.zeros(len(names), np.int64)
-        shard[which] = (full[runs] % U(shards)).astype(np.int64)
+        gram = np.zeros(len(names), np.uint64)
+        gram[which] = full[runs]
+        shard = (gram % U(shards)).astype(np.int64)
         rows = []
         for s in np.unique(shard).tolist():
             own = np.flatnonzero(shard == s)
             held = [names[i] for i in own.tolist()]
-            rows.append((key[0].as_py(), s, 2, b"".join(held), np.fromiter(map(len, held), np.int32, len(held)).tobytes(), np.array(lo)[own].tobytes(), np.array([own, np.array(hi)[own]]).tobytes()))
+            rows.append((key[0].as_py(), s, 2, b"".join(held), np.fromiter(map(len, held), np.int32, len(held)).tobytes(), np.array(lo)[own].tobytes(), np.array([own, np.array(hi)[own], gram[own].view(np.int64)]).tobytes()))
         return _blobs(rows)
 
     def strings(key: tuple, table: pa.Table) -> pa.Table:
         at, text, sizes, lo, rest_ = (table.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d"))
         number: dict[bytes, int] = {}
         docs_: list[int] = []
+        grams_: list[int] = []
         seen = []
-        for x, n, d in zip(text, sizes, lo):
+        for x, n, d, more in zip(text, sizes, lo, rest_):
             ends = np.cumsum(np.frombuffer(n, np.int32)).tolist()
             ids = []
-            for a, b, doc in zip([0, *ends], ends, np.frombuffer(d, np.int64).tolist()):
+            for a, b, doc, g in zip([0, *ends], ends, np.frombuffer(d, np.int64).tolist(), np.frombuffer(more, np.int64).reshape(3, -1)[2].tolist()):
                 i = number.setdefault(x[a:b], len(docs_))
                 if i == len(docs_):
                     docs_.append(doc)
+                    grams_.append(g)
                 elif doc < docs_[i]:
                     docs_[i] = doc
                 ids.append(i)
             seen.append(np.array(ids))
         names = list(number)
-        offset, least = shortest_documents(names, np.array(docs_), length)
+        offset, least = shortest_documents(names, np.array(docs_), np.array(grams_), length)
         ends = np.append(offset[1:], len(least))
         edge = np.r_[True, least[1:] != least[:-1]]
         edge[offset] = True
@@ -244,7 +269,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
         highest = np.searchsorted(begin, ends)
         rows = []
         for k, ids, more in zip(at, seen, rest_):
-            own, hi = np.frombuffer(more, np.int64).reshape(2, -1)
+            own, hi, _ = np.frombuffer(more, np.int64).reshape(3, -1)
             n = highest[ids] - lowest[ids]
             piece = np.repeat(lowest[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             who = np.repeat(np.arange(len(ids)), n)
