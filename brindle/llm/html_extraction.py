@@ -105,8 +105,7 @@ class Page:
             else:  # a quote is never closed: from here on a tag ends at its first bracket
                 quotes = False
                 end = html.find(">", start) + 1
-                if not end:
-                    add(html[start:])
+                if not end:  # a page cut off inside a tag
                     break
             at = end
             if named is None:
