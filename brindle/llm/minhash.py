@@ -220,7 +220,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group (one of repeated rows); rows without an id all stay."""
-    kept = near_duplicates(spark, docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    one = named.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(spark, docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where(docs["doc_id"].isNotNull())
+    one = named.join(kept, named["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where(docs["doc_id"].isNull()))

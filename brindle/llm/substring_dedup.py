@@ -325,14 +325,14 @@ def strip_stage(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataF
 
     A character whose bytes are removed in part goes as a whole.  Every row stays, also one whose text is empty now.
     """
-    key = [F.col("doc_id").cast("long").alias("kept_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc")]
-    kept = cut(spark, remove_repeats(spark, docs, length, texts=True).where("n_removed > 0"))
-    # what is left of a character is no valid UTF-8: decoded leniently, it is dropped
-    changed = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("crc").alias("kept_crc")).agg(F.min("kept").alias("kept"))
-    valid = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    rest = docs.select("*", *key).join(changed, ["kept_id", "kept_crc"], "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(valid)
-    out = rest.withColumn("text", text)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.crc32(text.cast("binary")).alias("crc"))
+    changed = cut(spark, remove_repeats(spark, docs, length, texts=True).where("n_removed > 0")).groupBy(F.col("doc_id").alias("id"), "crc").agg(F.min("kept").alias("kept"))
+    # what is left of a character is no valid UTF-8: it is marked and the mark dropped
+    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
+    new = {"text": left}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(left).cast(docs.schema["n_chars"].dataType)
+    same = F.col("kept").isNull()
+    out = rows.join(changed, ["id", "crc"], "left")
+    return out.select(*[(F.when(same, F.col(f"row.`{c}`")).otherwise(new[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
