@@ -84,14 +84,19 @@ def full(n: int, value: Column, aggregate: Column, w: WindowSpec | None = None)
     return F.when(F.count(value).over(trailing(n, w)) == n, aggregate.over(trailing(n, w)))
 
 
+#: Fixed value: a ternary position is flat inside this band.
+TERNARY_BAND = 0.5
+
+
 def encode(z: Column, how: str) -> Column:
-    """A z-score as a position: its sign, its sign beyond 1, or z·exp(−z²/4)/0.89."""
+    """A z-score as a position: its sign (+1 at 0), its sign outside the band, or z·exp(−z²/4)/0.89; null stays null."""
     one_of("how", how, ("binary", "ternary", "score"))
-    if how == "binary":
-        return F.signum(z)
+    if how == "score":
+        return z * F.exp(-z * z / 4) / F.lit(0.89)
+    sign = F.when(z >= 0, 1.0).otherwise(-1.0)
     if how == "ternary":
-        return F.when(z.isNull(), None).when(F.abs(z) >= 1, F.signum(z)).otherwise(F.lit(0.0))
-    return z * F.exp(-z * z / 4) / F.lit(0.89)
+        sign = F.when(F.abs(z) < TERNARY_BAND, 0.0).otherwise(sign)
+    return F.when(z.isNotNull(), sign)
 
 
 def local_clock(ts: Column, zone: str, prefix: str = "local_") -> dict[str, Column]:
