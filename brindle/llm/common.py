@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,27 @@ def drop_cut(spark: SparkSession, df: DataFrame) -> None:
     discard(spark, df._brindle_path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables cut inside are deleted at the end, but for the one that the yielded function writes and returns."""
+    begin, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(cut(spark, df))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        ours = _written[begin:]
+        del _written[begin:]
+        for session, path in ours:
+            if any(path == k._brindle_path for k in kept):
+                _written.append((session, path))
+            else:
+                discard(session, path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has been counted and is small; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U, WordHash, cut, drop_cut, mix, seeds, shingle_set, small
+from brindle.llm.common import U, WordHash, cut, drop_cut, mix, scratch, seeds, shingle_set, small
 from brindle.llm.components import components
 
 BINS, ROWS = 300, 6
@@ -189,7 +189,15 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every (doc_id, text); documents are linked at ``percent`` similarity."""
+    """doc_id, n_shingles, component_id, kept of every (doc_id, text); documents are linked at ``percent`` similarity.
+
+    The result is written in the shared folder, and what led to it is deleted.
+    """
+    with scratch(spark) as keep:
+        return keep(_groups(spark, docs, percent))
+
+
+def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     every = cut(spark, profiles(docs))
     # a class is a row from here on; partial minima are taken before the shuffle, so many copies are few rows
     least = [F.min_by(c, "doc_id").alias(c) for c in ("marks", "bands")]

@@ -130,7 +130,7 @@ class _Ids(dict):
 
     TAIL = b".,;:!?)]}\"%&*#$"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer

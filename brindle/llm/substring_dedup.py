@@ -22,7 +22,6 @@ Null texts are empty.  A null id is never smaller than another and is left alone
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +65,11 @@ class Bucket:
     """A bucket's texts in a row, and for every run of ``length``-byte strings in them the gram they chose."""
 
     def __init__(self, table: pa.Table, length: int):
-        rows = sorted(((d, as_bytes(t)) for d, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())), key=lambda r: r[0])
-        self.docs = np.array([d for d, _ in rows], np.int64)
-        sizes = np.array([len(t) for _, t in rows], np.int64)
-        self.text = b"".join(t for _, t in rows)
+        rows = sorted(((d, as_bytes(t), i) for i, (d, t) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))), key=lambda r: r[0])
+        self.docs = np.array([d for d, _, _ in rows], np.int64)
+        self.order = [i for _, _, i in rows]
+        sizes = np.array([len(t) for _, t, _ in rows], np.int64)
+        self.text = b"".join(t for _, t, _ in rows)
         self.t = np.frombuffer(self.text, np.uint8)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
@@ -176,8 +176,8 @@ def shortest_documents(names: list[bytes], docs: np.ndarray, grams: np.ndarray,
     return offset, out
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucket_docs: int = 1000, shard_docs: int = 2000, shards: int | None = None, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or, with ``texts``, kept (binary) and crc (of the text), of every (doc_id, text).
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucket_docs: int = 1000, shard_docs: int = 2000, shards: int | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or, with ``carry``, kept (binary) and ``row`` (the whole row but its text), of every (doc_id, text).
 
     ``length`` is 24 at least.  Shards and buckets follow the number of documents, so each is
     a few MB whatever the input.
@@ -185,7 +185,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
     shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // shard_docs))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("no text")).alias("row")] if carry else []
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *whole_row)
     sha = F.sha2(F.col("text").cast("binary"), 256)
     size = F.octet_length("text").cast("long")
     hashed = named.where(F.col("doc_id").isNotNull() & (size >= length))
@@ -193,12 +194,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
     copies = cut(spark, hashed.select("doc_id", sha.alias("sha")).join(firsts, "sha").where("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("sha").alias("copy_sha")).distinct())
     gone = small(copies)
     is_copy = (F.col("doc_id") == F.col("copy_id")) & (sha == F.col("copy_sha"))
-    blank = F.lit(b"").cast("binary") if texts else F.lit(EMPTY_SHA)
-    whole = F.col("text").cast("binary") if texts else sha
-    out_name = "kept" if texts else "kept_sha256"
-    crc = [F.crc32(F.col("text").cast("binary")).alias("crc")] if texts else []
-    settled = named.where(size >= length).join(gone, is_copy, "left_semi").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), blank.alias(out_name), *crc)
-    aside = named.where(F.col("doc_id").isNull() | (size < length)).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias(out_name), *crc)
+    blank = F.lit(b"").cast("binary") if carry else F.lit(EMPTY_SHA)
+    whole = F.col("text").cast("binary") if carry else sha
+    out_name = "kept" if carry else "kept_sha256"
+    row = ["row"] if carry else []
+    settled = named.where(size >= length).join(gone, is_copy, "left_semi").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), blank.alias(out_name), *row)
+    aside = named.where(F.col("doc_id").isNull() | (size < length)).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias(out_name), *row)
 
     rest = hashed.join(gone, is_copy, "left_anti")
     buckets = max(1, -(-docs.count() // bucket_docs))
@@ -302,21 +303,22 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
             np.add.at(cover, bucket.first[run] + a[piece], 1)
             np.add.at(cover, bucket.first[run] + b[piece] + length - 1, -1)
         gone_ = np.cumsum(cover[:-1]) > 0
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for d, a_, b_ in zip(bucket.docs.tolist(), bucket.begins.tolist(), bucket.ends.tolist()):
             g = gone_[a_:b_]
             n_gone = int(g.sum())
             kept = bucket.text[a_:b_] if not n_gone else bucket.t[a_:b_][~g].tobytes()
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n_gone else 0
-            for c, v in zip(out, (d, b_ - a_, n_gone, spans, kept if texts else hashlib.sha256(kept).hexdigest(), zlib.crc32(bucket.text[a_:b_]) if texts else 0)):
+            for c, v in zip(out, (d, b_ - a_, n_gone, spans, kept if carry else hashlib.sha256(kept).hexdigest())):
                 c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if texts else pa.string(), *[pa.int64()] * texts)
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", out_name, *["crc"] * texts])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if carry else pa.string())
+        carried = [table.column("row").combine_chunks().take(pa.array(bucket.order, pa.int64()))] if carry else []
+        return pa.table([*[pa.array(c, k) for c, k in zip(out, kinds)], *carried], names=["doc_id", "n_bytes", "n_removed", "n_spans", out_name, *row])
 
     told = placed.groupBy("bucket").applyInArrow(grams, BLOBS).groupBy("shard").applyInArrow(shared, BLOBS)
     found = placed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(contexts, BLOBS).groupBy("shard").applyInArrow(strings, BLOBS)
     answers = told.unionByName(found)
-    kept = placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(removed, f"doc_id long, n_bytes long, n_removed long, n_spans long, {out_name} {'binary, crc long' if texts else 'string'}")
+    kept = placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(removed, aside.schema)
     return kept.unionByName(settled).unionByName(aside)
 
 
@@ -325,14 +327,11 @@ def strip_stage(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataF
 
     A character whose bytes are removed in part goes as a whole.  Every row stays, also one whose text is empty now.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.crc32(text.cast("binary")).alias("crc"))
-    changed = cut(spark, remove_repeats(spark, docs, length, texts=True).where("n_removed > 0")).groupBy(F.col("doc_id").alias("id"), "crc").agg(F.min("kept").alias("kept"))
+    done = remove_repeats(spark, docs, length, carry=True)
     # what is left of a character is no valid UTF-8: it is marked and the mark dropped
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    new = {"text": left}
+    same = F.col("n_removed") == 0
+    new = {"text": F.when(F.col("row.`no text`"), None).when(same, F.col("kept").cast("string")).otherwise(left)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(left).cast(docs.schema["n_chars"].dataType)
-    same = F.col("kept").isNull()
-    out = rows.join(changed, ["id", "crc"], "left")
-    return out.select(*[(F.when(same, F.col(f"row.`{c}`")).otherwise(new[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
