@@ -186,3 +186,51 @@ def cost_of_order_size(spark, d):
     p = S.table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("i"), (F.abs("c_acctbal") + 1).alias("q")).where("i <= 5")
     depth = p.select("k", (F.col("i") * 2.0).alias("distance_bps"), F.sum("q").over(w).alias("cumulative"))
     return L.cost_of_size(depth, (1000.0, 100000.0))
+
+
+# fitted models
+
+
+@query()
+def garch_fit(spark, d):
+    from brindle.operators import fitted as M
+
+    return M.fit(B.returns(S.daily(spark, d), "log")).select("ticker", "model", "nobs", F.round("persistence", 2).alias("persistence"))
+
+
+@query()
+def garch_walk_forward(spark, d):
+    from brindle.operators import fitted as M
+
+    rets = B.returns(S.daily(spark, d), "log").where("ts >= '2000-01-01'")
+    return M.walk_forward(rets, first=300, every=100, horizons=(1, 5)).groupBy("ticker", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("variance").alias("variance"))
+
+
+@query()
+def har_scorecard(spark, d):
+    from brindle.operators import fitted as M
+
+    rv = B.returns(S.daily(spark, d), "log").where("return is not null").select("ticker", "ts", "close_ts", (F.col("return") * F.col("return")).alias("rv"))
+    return M.scorecard(M.align(M.har(rv, every=100), rv.withColumnRenamed("rv", "proxy")))
+
+
+@query()
+def variance_breaks(spark, d):
+    from brindle.operators import fitted as M
+
+    return M.variance_breaks(B.returns(S.daily(spark, d), "log"))
+
+
+@query()
+def ewma_correlations(spark, d):
+    from brindle.operators import fitted as M
+
+    return M.ewma_pairs(B.returns(S.daily(spark, d), "log"), ["A", "N", "R"])
+
+
+@query()
+def direction_reliability(spark, d):
+    from brindle.operators import fitted as M
+
+    b = S.daily(spark, d).withColumns({"r1": F.ln(F.try_divide(F.col("close"), F.lag("close").over(C.by_ticker()))), "r5": F.ln(F.try_divide(F.col("close"), F.lag("close", 5).over(C.by_ticker())))})
+    return M.reliability(M.direction(b, ["r1", "r5"], horizon=3, first=500, every=250))
