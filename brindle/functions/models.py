@@ -240,7 +240,7 @@ def vecm(x: np.ndarray, y: np.ndarray, lags: int = 20) -> tuple[np.ndarray, np.n
     """Error-correction speeds, residual covariance and rows of two cointegrated log prices with vector (1, −1)."""
     d = np.column_stack([np.diff(x), np.diff(y)])
     n = len(d) - lags
-    if n < 4 * lags:
+    if len(x) < lags + 10:
         raise Refused("too few rows")
     z = np.column_stack([np.ones(n), (x - y)[lags:-1], *[d[lags - k : len(d) - k] for k in range(1, lags + 1)]])
     b = np.linalg.lstsq(z, d[lags:], rcond=None)[0]
