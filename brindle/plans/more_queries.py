@@ -234,3 +234,45 @@ def direction_reliability(spark, d):
 
     b = S.daily(spark, d).withColumns({"r1": F.ln(F.try_divide(F.col("close"), F.lag("close").over(C.by_ticker()))), "r5": F.ln(F.try_divide(F.col("close"), F.lag("close", 5).over(C.by_ticker())))})
     return M.reliability(M.direction(b, ["r1", "r5"], horizon=3, first=500, every=250))
+
+
+# selection and calendars
+
+_TRIALS = f"""{S.DAILY}{S.RETURNS}, p AS (SELECT *, sign(close / lag(close, 10) OVER w - 1)::DOUBLE AS pos FROM r WINDOW w AS (PARTITION BY ticker ORDER BY ts)), h AS (SELECT *, lag(pos) OVER w AS held FROM p WINDOW w AS (PARTITION BY ticker ORDER BY ts))"""
+
+
+@query()
+def random_timing(spark, d):
+    from brindle.operators import backtest as T
+    from brindle.operators import selection
+
+    return selection.random_timing(T.momentum(S.daily(spark, d), (10, 20)), samples=40, per_task=20)
+
+
+@query(f"""WITH {S.DAILY}, n AS (SELECT count(DISTINCT ticker) AS n FROM bars), f AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT ticker) = (SELECT n FROM n)) SELECT ticker, epoch_us(bars.ts) AS ts, round(close, 8) + 0.0 AS close FROM bars SEMI JOIN f ON bars.ts = f.ts""", digits=8)
+def shared_times(spark, d):
+    from brindle.operators import selection
+
+    return selection.shared_times(S.daily(spark, d)).select("ticker", "ts", "close")
+
+
+_SESSIONS = """s AS (SELECT CAST(x AS DATE) AS date, x + INTERVAL 14 HOUR + INTERVAL 30 MINUTE AS open_ts, x + INTERVAL 21 HOUR AS close_ts FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(x) WHERE isodow(x) < 6 AND day(x) NOT IN (1, 15, 24))"""
+
+
+def _sessions(spark):
+    days = spark.sql("select explode(sequence(timestamp'2024-01-01', timestamp'2024-01-31', interval 1 day)) as x").where("weekday(x) < 5 and dayofmonth(x) not in (1, 15, 24)")
+    return days.select(F.to_date("x").alias("date"), (F.col("x") + F.expr("INTERVAL 870 MINUTES")).alias("open_ts"), (F.col("x") + F.expr("INTERVAL 21 HOURS")).alias("close_ts"))
+
+
+@query(f"WITH {_SESSIONS}, {S.TICKS} SELECT event_id, coalesce(t.ts >= s.open_ts AND t.ts < s.close_ts, false) AS x_open, s.date IS NULL AND isodow(CAST(timezone('America/New_York', timezone('UTC', t.ts)) AS DATE)) < 6 AND CAST(timezone('America/New_York', timezone('UTC', t.ts)) AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-31' AS x_closed_day FROM ticks t LEFT JOIN s ON s.date = CAST(timezone('America/New_York', timezone('UTC', t.ts)) AS DATE)")
+def sessions_marked(spark, d):
+    from brindle.operators import calendars
+
+    return calendars.mark_sessions(S.ticks(spark, d), _sessions(spark), "America/New_York", "x").select("event_id", "x_open", "x_closed_day")
+
+
+@query(f"WITH {_SESSIONS}, l AS (SELECT *, lag(close_ts) OVER (ORDER BY open_ts) AS f FROM s) SELECT epoch_us(open_ts) AS open_ts, epoch_us(f) AS closed_from, round(date_diff('minute', f, open_ts) / 60.0::DOUBLE, 6) + 0.0 AS closed_hours, CASE WHEN isodow(f) + date_diff('day', CAST(f AS DATE), CAST(open_ts AS DATE)) >= 6 THEN CASE WHEN date_diff('minute', f, open_ts) <= 3600 THEN 'weekend' ELSE 'weekend+holiday' END ELSE 'holiday' END AS kind FROM l WHERE date_diff('minute', f, open_ts) > 1440")
+def session_reopenings(spark, d):
+    from brindle.operators import calendars
+
+    return calendars.reopenings(_sessions(spark))
