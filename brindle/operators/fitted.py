@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import columns as C
 from brindle.functions import models as M
+from brindle.functions import variance_models as V
 from brindle.refuse import Refused, one_of, require
 
 FIT = "ticker string, model string, dist string, nobs long, mu double, omega double, alpha double, beta double, gamma double, nu double, loglik double, aic double, bic double, persistence double"
@@ -184,3 +185,60 @@ def reliability(forecasts: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, mean_p, rate: calibration in bins of equal width."""
     rows = forecasts.where("y is not null and not isnan(y)")
     return rows.groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
+
+
+def fit_variance(rets: DataFrame, *, model: str, column: str = "return", measure: str | None = None, min_obs: int = 200) -> DataFrame:
+    """ticker, name, value: parameters and log-likelihood of a model of ``variance_models``.  ``measure``: the column of realized variance for rgarch."""
+    one_of("model", model, tuple(V.SPECS))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.dropna(subset=[column, *([measure] if measure else [])]).sort_values("ts")
+        f = V.fit(model, p[column].to_numpy(float), p[measure].to_numpy(float) if measure else None, min_obs=min_obs)
+        names = [*V.SPECS[model].names, "loglik"]
+        return pd.DataFrame({"ticker": p["ticker"].iloc[0], "name": names, "value": [f[n] for n in names]})
+
+    return rets.groupBy("ticker").applyInPandas(run, "ticker string, name string, value double")
+
+
+def realized_jumps(rets: DataFrame, every: str = "1d", *, min_n: int = 10) -> DataFrame:
+    """ticker, ts, n, rv, bv, med_rv, tq, z, jump per bucket with ``min_n`` returns; a bucket's returns are one group."""
+    rows = rets.where(F.col("return").isNotNull()).select("ticker", C.bucket(F.timestamp_micros(F.unix_micros("close_ts") - 1), every).alias("bucket"), "close_ts", "return")
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        if len(p) < max(min_n, 3):
+            return pd.DataFrame()
+        return pd.DataFrame([{"ticker": key[0], "ts": key[1], "n": len(p), **V.jump_measures(p.sort_values("close_ts")["return"].to_numpy(float))}])
+
+    return rows.groupBy("ticker", "bucket").applyInPandas(run, "ticker string, ts timestamp, n long, rv double, bv double, med_rv double, tq double, z double, jump double")
+
+
+def momentum_features(decision: DataFrame, factors: DataFrame, lookbacks: dict[str, int], *, half_life: int) -> DataFrame:
+    """ticker, ts, close_ts, close, sigma and a z-score per lookback: deseasonalised variance is averaged with a half-life within each stretch, never across a hole.
+
+    decision: bars with ``rv``.  factors: ticker, week, weekday, hour, factor.
+    """
+    from brindle.operators.indicators import with_stretches
+
+    require(decision, ["ticker", "ts", "close_ts", "close", "rv"])
+    rows = with_stretches(decision).withColumns({"week": C.bucket(F.col("ts"), "1w"), "weekday": F.weekday("ts") + 1, "hour": F.hour("ts")}).join(factors, ["ticker", "week", "weekday", "hour"], "left")
+    rows = rows.select("ticker", "_stretch", "ts", "close_ts", "close", F.try_divide(F.col("rv"), F.nullif(F.col("factor") * F.col("factor"), F.lit(0.0))).alias("_v"))
+    names = list(lookbacks)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("ts").reset_index(drop=True)
+        sigma = np.sqrt(p["_v"].ewm(halflife=half_life, adjust=False, min_periods=half_life).mean())
+        log = np.log(p["close"])
+        return p[["ticker", "ts", "close_ts", "close"]].assign(sigma=sigma, **{f"z_{k}": log.diff(n) / (sigma * np.sqrt(n)) for k, n in lookbacks.items()})
+
+    return rows.groupBy("ticker", "_stretch").applyInPandas(run, "ticker string, ts timestamp, close_ts timestamp, close double, sigma double" + "".join(f", z_{k} double" for k in names))
+
+
+def targeted(forecasts: DataFrame, bars: DataFrame, *, target: float, rule: str = "inverse_vol", cap: float = 2.0, fee: float = 0.00045) -> DataFrame:
+    """A trial per model whose exposure holds variance at ``target`` by the one-step forecast made at each close."""
+    from brindle.operators import backtest
+
+    one_of("rule", rule, ("inverse_vol", "inverse_variance"))
+    sigma = F.sqrt("variance")
+    size = F.least(F.try_divide(F.lit(target), sigma) if rule == "inverse_vol" else F.pow(F.try_divide(F.lit(target), sigma), 2), F.lit(cap))
+    rows = forecasts.where("h = 1").select("model", "ticker", "ts", size.alias("_size")).join(bars.select("ticker", "ts", "close_ts", "close"), ["ticker", "ts"]).withColumnRenamed("model", "trial")
+    return backtest.returns(rows, "_size", fee=fee, by=("trial", "ticker"))

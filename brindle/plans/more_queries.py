@@ -276,3 +276,37 @@ def session_reopenings(spark, d):
     from brindle.operators import calendars
 
     return calendars.reopenings(_sessions(spark))
+
+
+@query()
+def component_garch_fit(spark, d):
+    from brindle.operators import fitted as M
+
+    rets = B.returns(S.daily(spark, d), "log").where("ts >= '2000-01-01'")
+    return M.fit_variance(rets, model="cgarch").where("name = 'rho'").select("ticker", "name", F.round("value", 1).alias("value"))
+
+
+@query()
+def realized_jumps(spark, d):
+    from brindle.operators import fitted as M
+
+    return M.realized_jumps(B.returns(S.hourly(spark, d), "log"))
+
+
+@query()
+def momentum_features(spark, d):
+    from brindle.operators import fitted as M
+
+    rets = B.returns(S.hourly(spark, d), "log")
+    rows = S.hourly(spark, d).select("ticker", "ts", "close_ts", "close").join(rets.select("ticker", "ts", (F.col("return") * F.col("return")).alias("rv")), ["ticker", "ts"])
+    return M.momentum_features(rows, O.weekly_factors(rets), {"1h": 1, "4h": 4}, half_life=3)
+
+
+@query()
+def volatility_targeted(spark, d):
+    from brindle.operators import backtest as T
+    from brindle.operators import fitted as M
+
+    b = S.daily(spark, d).where("ts >= '2000-01-01'")
+    out = M.targeted(M.walk_forward(B.returns(b, "log"), first=300, every=200), b, target=0.1)
+    return out.groupBy("trial", "ticker").agg(F.count("net").alias("n"), F.avg("position").alias("exposure"), F.max(F.abs("position")).alias("most"))
