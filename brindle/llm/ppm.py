@@ -2,13 +2,13 @@
 
 Model.  Texts are bytes with A-Z lower-cased.  The 62 bytes most frequent in the training documents are symbols of their own; the
 rest share one symbol, after which the byte itself is coded by its frequency; the last symbol ends a text and also
-stands before it.  Contexts are the last three symbols, so the trie has at most 64^3 nodes with 64 counts each: its size is
-bounded (64 MB as log probabilities) whatever the corpus, while every byte of every training document is counted.  At a
-node, escape is estimated by method C (as many escapes as symbols seen); after an escape the symbols already ruled out are excluded from the shorter
-context's counts; below order 0 the symbols never seen are equally likely.  Since the trie is fixed once trained, the log
-probability of each symbol after each context is worked out once, and scoring is a lookup.
+stands before it.  The trie has the contexts of orders 0 to 4.  Those of orders 3 and 4 are hashed to ``2^17`` nodes an
+order, each with a count for every symbol, so its size is bounded (65 MB) whatever the corpus, while every byte of every training document is
+counted; contexts that meet in a node share its counts, and the probabilities of a node still sum to one.  At a node, escape is
+estimated by method D (half a count of each symbol seen goes to the escape); symbols that longer contexts have seen are excluded
+from the counts of shorter ones; below order 0 the symbols never seen are equally likely.
 
-Counting adds up per task and is merged by ranges of contexts.  Word counts for the base score are merged by word with
+Counting adds up per task and is merged by ranges of nodes.  Word counts for the base score are merged by word with
 ordinary aggregates and joined back per block of documents; nothing that grows with the corpus is collected or broadcast.
 
 Null texts are empty: one token, the end.  Without training documents every probability is uniform and the base score is 0.
@@ -29,7 +29,13 @@ from pyspark.sql import functions as F
 from brindle.llm.common import as_bytes, cut
 
 SYMBOLS, OTHER, END = 64, 62, 63
-SHARDS = 64
+LONGEST, HASHED = 4, (4, 3)
+NODE_BITS = 17
+CELLS = SYMBOLS << NODE_BITS  # counts of a hashed order
+EXACT = 2 * CELLS  # where the counts of order 2 begin
+TOTAL = EXACT + SYMBOLS**3
+WIDTH = 1 << 18  # counts merged by one group
+MIX = {4: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77)}
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -48,65 +54,84 @@ def symbol_of(histogram: np.ndarray) -> np.ndarray:
     return out
 
 
-def codes(texts: list[bytes], symbol: np.ndarray) -> np.ndarray:
-    """(context, symbol) of every position of every text and of its end, as 24-bit numbers."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes + 4)
-    s = np.full(int(ends[-1]) if len(texts) else 0, END, np.uint32)
-    where = np.ones(len(s), bool)  # three symbols before a text and one after it are no bytes of it
-    where[ends - 1] = False
-    for k in range(3):
-        where[ends - sizes - 4 + k] = False
-    s[where] = symbol[np.frombuffer(b"".join(texts), np.uint8)]
-    code = (s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]
-    keep = np.ones(len(s), bool)
-    for k in range(3):
-        keep[ends - sizes - 4 + k] = False
-    return code[keep[3:]]
-
-
-def _probabilities(c3: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | three symbols) with escapes (method C) and exclusion, float32, one block of first symbols at a time."""
-    c3 = c3.reshape(SYMBOLS, SYMBOLS**2, SYMBOLS)
-    c2 = c3.sum(axis=0)
-    c1 = c2.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(axis=0)
-    c0 = c1.sum(axis=0)
-
-    def step(c: np.ndarray, out: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities at one order: symbols in ``out`` are excluded; ``below`` says what an escape leads to."""
-        c = np.where(out, 0, c)
-        n, q = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        total = np.maximum(n + q, 1)
-        return np.where(c > 0, c / total, np.where(q > 0, q / total, 1.0) * below)
-
-    none = np.zeros(SYMBOLS, bool)
-    unseen = max(int((c0 == 0).sum()), 1)
-    # what an escape from a context leads to: the shorter context without the symbols that the longer one has seen
-    after0 = np.full(SYMBOLS, 1.0 / unseen)
-    after1 = step(c0, c1 > 0, after0)  # [s1, s]
-    seen2 = (c2 > 0).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    after2 = step(c1[None], seen2, after1[None]).reshape(-1, SYMBOLS)  # [s2 s1, s]
-    out = np.empty((SYMBOLS, SYMBOLS**2, SYMBOLS), np.float32)
-    for first in range(SYMBOLS):
-        after3 = step(c2, c3[first] > 0, after2)
-        out[first] = np.log10(step(c3[first], none, after3))
-    return out.ravel()
+class Positions:
+    """Every symbol of some texts, their ends included, with the nodes of its contexts."""
+
+    def __init__(self, texts: list[bytes], symbol: np.ndarray):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        pad = LONGEST
+        ends = np.cumsum(sizes + pad + 1)
+        s = np.full(int(ends[-1]) if len(texts) else 0, END, np.uint32)
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        before = np.repeat(np.arange(len(texts)) * (pad + 1) + pad, sizes)  # padding in front of each byte
+        s[np.arange(len(self.raw)) + before] = symbol[self.raw]
+        after = np.repeat(np.arange(1, len(texts) + 1) * pad, sizes + 1)
+        at = np.arange(len(after)) + after
+        self.symbol = s[at]
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        self.bytes = np.cumsum(sizes) - sizes
+        context, self.context = np.zeros(len(at), np.uint32), {}
+        for k in range(1, LONGEST + 1):
+            context = context | (s[at - k] << np.uint32(6 * (k - 1)))
+            if k in MIX:
+                with np.errstate(over="ignore"):
+                    self.context[k] = (context * MIX[k]) >> np.uint32(32 - NODE_BITS)
+            else:
+                self.context[k] = context.copy()
+
+    def cells(self) -> list[tuple[int, np.ndarray]]:
+        """Where each order's counts begin, and the count of every position among them."""
+        return [(i * CELLS, self.context[k] * np.uint32(SYMBOLS) + self.symbol) for i, k in enumerate(HASHED)] + [(EXACT, self.context[2] * np.uint32(SYMBOLS) + self.symbol)]
 
 
 class Model:
     def __init__(self, counts: np.ndarray, histogram: np.ndarray):
         self.symbol = symbol_of(histogram)
-        self.table = _probabilities(counts)
+        self.tables = [(k, counts[i * CELLS : (i + 1) * CELLS].reshape(-1, SYMBOLS)) for i, k in enumerate(HASHED)]
+        two = counts[EXACT:].reshape(SYMBOLS, SYMBOLS, SYMBOLS)  # the symbol before the last is the first axis
+        self.tables += [(2, two.reshape(-1, SYMBOLS)), (1, two.sum(axis=0)), (0, two.sum(axis=(0, 1))[None])]
+        top = self.tables[0][1]
+        self.seen = (top > 0).sum(axis=1).astype(np.float32)
+        self.all = top.sum(axis=1)
         other = np.flatnonzero(self.symbol == OTHER)
         self.rare = np.zeros(256)
         self.rare[other] = np.log10((histogram[other] + 1) / (histogram[other].sum() + len(other)))
 
-    def score(self, text: bytes) -> float:
-        """log10 probability of a text and its end."""
-        raw = np.frombuffer(text.lower(), np.uint8)
-        s = np.full(len(raw) + 4, END, np.uint32)
-        s[3:-1] = self.symbol[raw]
-        return float(self.table[(s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]].sum(dtype=np.float64) + self.rare[raw].sum())
+    def log10(self, symbol: np.ndarray, context: dict[int, np.ndarray]) -> np.ndarray:
+        """log10 probability of each symbol after its contexts."""
+        out = np.zeros(len(symbol))
+        _, top = self.tables[0]
+        node = context[LONGEST]
+        c, total, seen = top.ravel()[node * np.uint32(SYMBOLS) + symbol], self.all[node], self.seen[node]
+        hit = c > 0
+        out[hit] = np.log10((c[hit] - 0.5) / total[hit])
+        todo = np.flatnonzero(~hit)
+        escaped = seen[todo] > 0
+        out[todo[escaped]] = np.log10(0.5 * seen[todo[escaped]] / total[todo[escaped]])
+        out_of = top[node[todo]] > 0
+        for order, table in self.tables[1:]:
+            if not len(todo):
+                return out
+            row = table[context[order][todo]] if order else np.broadcast_to(table[0], (len(todo), SYMBOLS))
+            row = np.where(out_of, 0, row)
+            n, q = row.sum(axis=1, dtype=np.float64), (row > 0).sum(axis=1)
+            c = row[np.arange(len(todo)), symbol[todo]]
+            hit, escaped = c > 0, (c == 0) & (q > 0)
+            out[todo[hit]] += np.log10((c[hit] - 0.5) / n[hit])
+            out[todo[escaped]] += np.log10(0.5 * q[escaped] / n[escaped])
+            todo, out_of = todo[~hit], (out_of | (row > 0))[~hit]
+        out[todo] -= np.log10(SYMBOLS - out_of.sum(axis=1))
+        return out
+
+    def scores(self, texts: list[bytes], step: int = 200_000) -> list[float]:
+        """log10 probability of each text and its end."""
+        if not texts:
+            return []
+        p = Positions([t.lower() for t in texts], self.symbol)
+        each = np.concatenate([self.log10(p.symbol[a : a + step], {k: v[a : a + step] for k, v in p.context.items()}) for a in range(0, len(p.symbol), step)])
+        out = np.add.reduceat(each, p.begin)
+        rare = np.concatenate([[0.0], np.cumsum(self.rare[p.raw])])
+        return (out + rare[np.append(p.bytes[1:], len(p.raw))] - rare[p.bytes]).tolist()
 
 
 def histogram(docs: DataFrame) -> np.ndarray:
@@ -127,34 +152,47 @@ def histogram(docs: DataFrame) -> np.ndarray:
 
 
 def counts(docs: DataFrame, symbol: np.ndarray) -> np.ndarray:
-    """Counts of (context, symbol) over all texts: 64^4 numbers, gathered as those that aren't 0."""
-    size = SYMBOLS**4
-    width = size // SHARDS
+    """The counts of all nodes over all texts: TOTAL numbers, gathered as those that aren't 0."""
+
+    def packed(at: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+        return zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1), zlib.compress(n.tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(TOTAL, np.uint32)  # a task's share of a corpus has fewer bytes than this can count
         for batch in batches:
             texts = [as_bytes(t).lower() for t in batch.column(0).to_pylist()]
-            for at in range(0, len(texts), 2000):
-                total += np.bincount(codes(texts[at : at + 2000], symbol), minlength=size)
-        at = np.flatnonzero(total)
-        cuts = np.searchsorted(at, np.arange(SHARDS + 1) * width)
-        n = total[at]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SHARDS), pa.int32()), pa.array([at[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["shard", "at", "n"]
-        )
+            for a in range(0, len(texts), 1000):
+                for begin, cell in Positions(texts[a : a + 1000], symbol).cells():
+                    found = np.bincount(cell)
+                    total[begin : begin + len(found)] += found.astype(np.uint32)
+        shard, at, n = [], [], []
+        for k in range(0, TOTAL, WIDTH):
+            here = total[k : k + WIDTH]
+            own = np.flatnonzero(here)
+            if len(own):
+                a, b = packed(own, here[own].astype(np.int64))
+                shard.append(k // WIDTH)
+                at.append(a)
+                n.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["shard", "at", "n"])
+
+    def opened(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(np.frombuffer(zlib.decompress(a), np.uint32)), np.frombuffer(zlib.decompress(b), np.int64)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for a, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            total[np.frombuffer(a, np.uint32) - key[0].as_py() * width] += np.frombuffer(n, np.int64)
+        total = np.zeros(WIDTH, np.int64)
+        for x, y in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
+            at, n = opened(x, y)
+            total[at] += n
         at = np.flatnonzero(total)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([(at + key[0].as_py() * width).astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([total[at].tobytes()], pa.binary())})
+        a, b = packed(at, total[at])
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([a], pa.binary()), "n": pa.array([b], pa.binary())})
 
     kind = "shard int, at binary, n binary"
-    out = np.zeros(size, np.int64)
+    out = np.zeros(TOTAL, np.float32)
     for r in docs.select("text").mapInArrow(run, kind).groupBy("shard").applyInArrow(merge, kind).toLocalIterator():
-        out[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.int64)
+        at, n = opened(bytes(r["at"]), bytes(r["n"]))
+        out[r["shard"] * WIDTH + at] = n
     return out
 
 
@@ -173,36 +211,50 @@ def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000) -> Data
     blocks = max(1, -(-docs.count() // block_docs))
     placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def words_of(key: tuple, table: pa.Table) -> pa.Table:
-        """The block's words, with how often its training documents have them; the empty word is the end."""
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of the training documents; the empty word is the end."""
         found: Counter[bytes] = Counter()
-        known: set[bytes] = {b""}
-        for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
-            words = as_bytes(text).lower().split()
-            if held_out(doc):
-                known.update(words)
-            else:
-                found.update(words)
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            found.clear()
+            return made
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(as_bytes(text).lower().split())
                 found[b""] += 1
-        out = list(known.union(found))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int32()), "word": pa.array(out, pa.binary()), "n": pa.array([found[w] for w in out], pa.int64())})
+                if len(found) > 500_000:
+                    yield out()
+        yield out()
+
+    def words_of(key: tuple, table: pa.Table) -> pa.Table:
+        known: set[bytes] = {b""}
+        for text in table.column("text").to_pylist():
+            known.update(as_bytes(text).lower().split())
+        return pa.table({"block": pa.array([key[0].as_py()] * len(known), pa.int32()), "word": pa.array(list(known), pa.binary())})
 
-    words = cut(spark, placed.groupBy("block").applyInArrow(words_of, "block int, word binary, n long"))
-    totals = cut(spark, words.groupBy("word").agg(F.sum("n").alias("total")))
-    tokens, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
+    trained = named.where(trains(F.col("doc_id"))).select("text").mapInArrow(count_words, "word binary, n long")
+    totals = cut(spark, trained.groupBy("word").agg(F.sum("n").alias("total")))
+    tokens, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
     scale = np.log10(float(tokens + kinds + 1))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         seen = dict(zip(right.column("word").to_pylist(), right.column("total").to_pylist()))
         m = model.value
         cols: list[list] = [[], [], [], [], [], [], []]
-        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()):
-            raw = as_bytes(text)
+        texts = [as_bytes(t) for t in left.column("text").to_pylist()]
+        marks: list[float] = []
+        for a in range(0, len(texts), 200):
+            marks += m.scores(texts[a : a + 200])
+        for doc, raw, mark in zip(left.column("doc_id").to_pylist(), texts, marks):
             have = np.array([*map(seen.__getitem__, raw.lower().split()), seen[b""]], np.float64)
-            for c, v in zip(cols, (doc, held_out(doc), len(have), int((have > 0).sum()), tokens, float(np.log10(have + 1).sum() - len(have) * scale), m.score(raw))):
+            for c, v in zip(cols, (doc, held_out(doc), len(have), int((have > 0).sum()), tokens, float(np.log10(have + 1).sum() - len(have) * scale), mark)):
                 c.append(v)
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    joined = words.join(totals, "word").select("block", "word", "total")
+    # one exchange of the texts serves both the blocks' words and the scoring
+    words = placed.groupBy("block").applyInArrow(words_of, "block int, word binary")
+    joined = words.join(totals, "word", "left").select("block", "word", F.coalesce("total", F.lit(0)).alias("total"))
     return placed.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(score, RESULT)

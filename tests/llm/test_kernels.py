@@ -156,14 +156,38 @@ def test_licenses():
         assert name in find(noise + text.upper().replace(" ", "\n ") + noise)
 
 
+def ppm_by_brute_force(tables, context, symbol):
+    """log10 probability with sets, from each order's counts."""
+    p, out = 1.0, set()
+    for order, table in tables:
+        row = {s: float(c) for s, c in enumerate(table[int(context[order]) if order else 0]) if c > 0 and s not in out}
+        n, q = sum(row.values()), len(row)
+        if symbol in row:
+            return math.log10(p * (row[symbol] - 0.5) / n)
+        p *= q / (2 * n) if q else 1
+        out |= set(row)
+    return math.log10(p / (64 - len(out)))
+
+
 def test_ppm_is_a_probability_and_matches_brute_force():
     rng = random.Random(6)
     texts = ["".join(rng.choice("aab c") for _ in range(rng.randint(0, 40))).encode() for _ in range(30)]
     h = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
     symbol = ppm.symbol_of(h)
-    counts = np.bincount(ppm.codes(texts, symbol), minlength=64**4)
-    assert counts.sum() == sum(len(t) + 1 for t in texts)
+    counts = np.zeros(ppm.TOTAL, np.float32)
+    for begin, cell in ppm.Positions(texts, symbol).cells():
+        np.add.at(counts, begin + cell.astype(np.int64), 1)
+    assert counts[ppm.EXACT :].sum() == sum(len(t) + 1 for t in texts)
     m = ppm.Model(counts, h)
-    total = (10.0 ** m.table.reshape(-1, 64)).sum(axis=1)
-    assert (total <= 1 + 1e-5).all() and total.min() > 0.3
-    assert m.score(b"aab") > m.score(b"zzz") and math.isfinite(m.score(b"\xff\x00"))
+    new = [b"", b"aab", b"zq", b"aab c\xff\x00 bca"]
+    p = ppm.Positions(new, symbol)
+    assert len(p.symbol) == sum(len(t) + 1 for t in new)
+    got = m.log10(p.symbol, p.context)
+    for i in range(len(got)):
+        context = {k: v[i] for k, v in p.context.items()}
+        assert got[i] == pytest.approx(ppm_by_brute_force(m.tables, context, int(p.symbol[i])), abs=1e-5)
+        every = m.log10(np.arange(64, dtype=np.uint32), {k: np.full(64, v[i]) for k, v in p.context.items()})
+        assert (10.0**every).sum() <= 1 + 1e-5
+    scores = m.scores(new)
+    assert scores == pytest.approx([m.scores([t])[0] for t in new]) and scores[1] > m.scores([b"zzz"])[0] and math.isfinite(scores[3])
+    assert scores[1] == pytest.approx(got[1:5].sum())
