@@ -310,3 +310,40 @@ def volatility_targeted(spark, d):
     b = S.daily(spark, d).where("ts >= '2000-01-01'")
     out = M.targeted(M.walk_forward(B.returns(b, "log"), first=300, every=200), b, target=0.1)
     return out.groupBy("trial", "ticker").agg(F.count("net").alias("n"), F.avg("position").alias("exposure"), F.max(F.abs("position")).alias("most"))
+
+
+@query(f"WITH {S.DAILY}, x AS (SELECT ticker, ts, CASE WHEN lead(ts, 3) OVER w = ts + INTERVAL 3 DAY THEN ln(lead(close, 3) OVER w / close) END AS r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)) SELECT ticker, epoch_us(ts) AS ts, round(r, 6) + 0.0 AS r_ahead, CAST(r > 0 AS INTEGER) AS y, CASE WHEN r > 0.1 THEN 1 WHEN r < -0.1 THEN -1 WHEN r IS NOT NULL THEN 0 END AS cls FROM x")
+def direction_targets(spark, d):
+    from brindle.operators import studies
+
+    return studies.targets(S.daily(spark, d), 3, "1d", cost=0.1).select("ticker", "ts", "r_ahead", "y", "cls")
+
+
+@query(f"WITH {S.DAILY}{S.RETURNS} SELECT ticker, epoch_us(ts) AS ts, round(lr * lr, 6) + 0.0 AS proxy FROM r WHERE lr IS NOT NULL")
+def variance_proxies(spark, d):
+    from brindle.operators import studies
+
+    return studies.proxies(S.daily(spark, d))
+
+
+@query()
+def spread_edge(spark, d):
+    from brindle.operators import studies
+
+    return studies.spread_edge(S.daily(spark, d), "1mo")
+
+
+@query()
+def extreme_days(spark, d):
+    from brindle.operators import studies
+
+    return studies.extremes(S.daily(spark, d), 5).select("ticker", "ts", "score")
+
+
+@query()
+def trade_excursions(spark, d):
+    from brindle.operators import backtest as T
+    from brindle.operators import studies
+
+    b = S.daily(spark, d)
+    return studies.excursions(T.trades_table(T.momentum(b, (20,))), b).select("trial", "ticker", "entry_ts", "mae", "mfe")
