@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U, as_bytes, cut, mix, small
+from brindle.llm.common import U, as_bytes, cut, drop_cut, mix, small
 from brindle.llm.suffix_arrays import eights, shared_prefixes, suffix_array
 
 GRAM = 16
@@ -65,7 +65,7 @@ class Bucket:
     """A bucket's texts in a row, and for every run of ``length``-byte strings in them the gram they chose."""
 
     def __init__(self, table: pa.Table, length: int):
-        rows = sorted(((d, as_bytes(t), i) for i, (d, t) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))), key=lambda r: r[0])
+        rows = sorted(((d, as_bytes(t), i) for i, (d, t) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))), key=lambda r: r[:2])
         self.docs = np.array([d for d, _, _ in rows], np.int64)
         self.order = [i for _, _, i in rows]
         sizes = np.array([len(t) for _, t, _ in rows], np.int64)
@@ -107,22 +107,18 @@ class Bucket:
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         return h[begin], np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
 
-    def contexts(self, shared: np.ndarray) -> tuple[list[bytes], list[int], list[int], np.ndarray, np.ndarray]:
-        """Distinct contexts of runs whose gram is shared, in order; their smallest and largest documents; the runs, and each one's context."""
+    def contexts(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts of runs whose gram is shared, as they first occur (rows are sorted, so in the same order each time); their smallest and largest documents; the runs, and each one's context."""
         runs = np.flatnonzero(np.isin(self.hash, shared)) if len(self.first) else np.empty(0, np.int64)
         text, length = self.text, self.length
         held = [text[a : b + length] for a, b in zip(self.first[runs].tolist(), self.last[runs].tolist())]
-        docs = self.docs[self.of[runs]].tolist()
-        lo: dict[bytes, int] = {}
-        hi: dict[bytes, int] = {}
-        for x, d in zip(held, docs):
-            if d < lo.get(x, d + 1):
-                lo[x] = d
-            if d > hi.get(x, d - 1):
-                hi[x] = d
-        names = sorted(lo)
-        number = {x: i for i, x in enumerate(names)}
-        return names, [lo[x] for x in names], [hi[x] for x in names], runs, np.fromiter(map(number.__getitem__, held), np.int64, len(held))
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(x, len(number)) for x in held], np.int64)
+        docs = self.docs[self.of[runs]]
+        lo, hi = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+        np.minimum.at(lo, which, docs)
+        np.maximum.at(hi, which, docs)
+        return list(number), lo, hi, runs, which
 
 
 def _blobs(rows: list[tuple]) -> pa.Table:
@@ -190,10 +186,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
     sha = F.sha2(F.col("text").cast("binary"), 256)
     size = F.octet_length("text").cast("long")
     hashed = named.where(F.col("doc_id").isNotNull() & (size >= length))
-    firsts = hashed.groupBy(sha.alias("sha")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
-    copies = cut(spark, hashed.select("doc_id", sha.alias("sha")).join(firsts, "sha").where("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("sha").alias("copy_sha")).distinct())
+    # a text's 256-bit hash is worked out once; a row is then known by its id and a short hash
+    short = F.xxhash64("text")
+    marks = cut(spark, hashed.select("doc_id", sha.alias("sha"), short.alias("short")))
+    firsts = marks.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
+    copies = cut(spark, marks.join(firsts, "sha").where("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("short").alias("copy_short")).distinct())
+    drop_cut(spark, marks)
     gone = small(copies)
-    is_copy = (F.col("doc_id") == F.col("copy_id")) & (sha == F.col("copy_sha"))
+    is_copy = (F.col("doc_id") == F.col("copy_id")) & (short == F.col("copy_short"))
     blank = F.lit(b"").cast("binary") if carry else F.lit(EMPTY_SHA)
     whole = F.col("text").cast("binary") if carry else sha
     out_name = "kept" if carry else "kept_sha256"
@@ -238,29 +238,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
         for s in np.unique(shard).tolist():
             own = np.flatnonzero(shard == s)
             held = [names[i] for i in own.tolist()]
-            rows.append((key[0].as_py(), s, 2, b"".join(held), np.fromiter(map(len, held), np.int32, len(held)).tobytes(), np.array(lo)[own].tobytes(), np.array([own, np.array(hi)[own], gram[own].view(np.int64)]).tobytes()))
+            rows.append((key[0].as_py(), s, 2, b"".join(held), np.fromiter(map(len, held), np.int32, len(held)).tobytes(), lo[own].tobytes(), np.array([own, hi[own], gram[own].view(np.int64)]).tobytes()))
         return _blobs(rows)
 
     def strings(key: tuple, table: pa.Table) -> pa.Table:
         at, text, sizes, lo, rest_ = (table.column(c).to_pylist() for c in ("bucket", "a", "b", "c", "d"))
         number: dict[bytes, int] = {}
-        docs_: list[int] = []
-        grams_: list[int] = []
         seen = []
-        for x, n, d, more in zip(text, sizes, lo, rest_):
+        for x, n in zip(text, sizes):
             ends = np.cumsum(np.frombuffer(n, np.int32)).tolist()
-            ids = []
-            for a, b, doc, g in zip([0, *ends], ends, np.frombuffer(d, np.int64).tolist(), np.frombuffer(more, np.int64).reshape(3, -1)[2].tolist()):
-                i = number.setdefault(x[a:b], len(docs_))
-                if i == len(docs_):
-                    docs_.append(doc)
-                    grams_.append(g)
-                elif doc < docs_[i]:
-                    docs_[i] = doc
-                ids.append(i)
-            seen.append(np.array(ids))
-        names = list(number)
-        offset, least = shortest_documents(names, np.array(docs_), np.array(grams_), length)
+            seen.append(np.array([number.setdefault(x[a:b], len(number)) for a, b in zip([0, *ends], ends)], np.int64))
+        names, every = list(number), np.concatenate(seen)
+        docs_, grams_ = np.full(len(names), np.iinfo(np.int64).max), np.zeros(len(names), np.int64)
+        np.minimum.at(docs_, every, np.concatenate([np.frombuffer(d, np.int64) for d in lo]))
+        grams_[every] = np.concatenate([np.frombuffer(m, np.int64).reshape(3, -1)[2] for m in rest_])
+        offset, least = shortest_documents(names, docs_, grams_, length)
         ends = np.append(offset[1:], len(least))
         edge = np.r_[True, least[1:] != least[:-1]]
         edge[offset] = True
