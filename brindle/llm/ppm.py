@@ -58,26 +58,27 @@ class Positions:
     """Every symbol of some texts, their ends included, with the nodes of its contexts."""
 
     def __init__(self, texts: list[bytes], symbol: np.ndarray):
+        pad = LONGEST  # so many ends stand before each text, and one after it is a symbol of it
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        pad = LONGEST
-        ends = np.cumsum(sizes + pad + 1)
-        s = np.full(int(ends[-1]) if len(texts) else 0, END, np.uint32)
-        self.raw = np.frombuffer(b"".join(texts), np.uint8)
-        before = np.repeat(np.arange(len(texts)) * (pad + 1) + pad, sizes)  # padding in front of each byte
-        s[np.arange(len(self.raw)) + before] = symbol[self.raw]
-        after = np.repeat(np.arange(1, len(texts) + 1) * pad, sizes + 1)
-        at = np.arange(len(after)) + after
-        self.symbol = s[at]
-        self.begin = np.cumsum(sizes + 1) - sizes - 1
-        self.bytes = np.cumsum(sizes) - sizes
-        context, self.context = np.zeros(len(at), np.uint32), {}
+        raw = np.frombuffer(bytes(pad) + bytes(pad + 1).join(texts) + b"\0", np.uint8)
+        stop = pad + np.cumsum(sizes + pad + 1) - pad - 1
+        between = (stop[:, None] + np.arange(pad + 1)).ravel()
+        between = between[between < len(raw)]
+        s = symbol[raw].astype(np.uint32)
+        s[:pad] = s[between] = END
+        keep = np.ones(len(s), bool)
+        keep[:pad] = keep[between] = False
+        keep[stop] = True
+        context, self.context = np.zeros(len(s), np.uint32), {}
         for k in range(1, LONGEST + 1):
-            context = context | (s[at - k] << np.uint32(6 * (k - 1)))
+            context[k:] |= s[:-k] << np.uint32(6 * (k - 1))
+            own = context[keep]
             if k in MIX:
                 with np.errstate(over="ignore"):
-                    self.context[k] = (context * MIX[k]) >> np.uint32(32 - NODE_BITS)
-            else:
-                self.context[k] = context.copy()
+                    own = (own * MIX[k]) >> np.uint32(32 - NODE_BITS)
+            self.context[k] = own
+        self.symbol, self.raw = s[keep], raw[keep]
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
 
     def cells(self) -> list[tuple[int, np.ndarray]]:
         """Where each order's counts begin, and the count of every position among them."""
@@ -129,9 +130,8 @@ class Model:
             return []
         p = Positions([t.lower() for t in texts], self.symbol)
         each = np.concatenate([self.log10(p.symbol[a : a + step], {k: v[a : a + step] for k, v in p.context.items()}) for a in range(0, len(p.symbol), step)])
-        out = np.add.reduceat(each, p.begin)
-        rare = np.concatenate([[0.0], np.cumsum(self.rare[p.raw])])
-        return (out + rare[np.append(p.bytes[1:], len(p.raw))] - rare[p.bytes]).tolist()
+        each += np.where(p.symbol == END, 0.0, self.rare[p.raw])
+        return np.add.reduceat(each, p.begin).tolist()
 
 
 def histogram(docs: DataFrame) -> np.ndarray:
@@ -163,8 +163,7 @@ def counts(docs: DataFrame, symbol: np.ndarray) -> np.ndarray:
             texts = [as_bytes(t).lower() for t in batch.column(0).to_pylist()]
             for a in range(0, len(texts), 1000):
                 for begin, cell in Positions(texts[a : a + 1000], symbol).cells():
-                    found = np.bincount(cell)
-                    total[begin : begin + len(found)] += found.astype(np.uint32)
+                    np.add.at(total, cell.astype(np.intp) + begin, np.uint32(1))
         shard, at, n = [], [], []
         for k in range(0, TOTAL, WIDTH):
             here = total[k : k + WIDTH]
