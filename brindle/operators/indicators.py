@@ -47,12 +47,17 @@ def add(bars: DataFrame, **indicators: Rolling | Kernel) -> DataFrame:
     kernels = {k: v.run for k, v in indicators.items() if isinstance(v, Kernel)}
     if kernels:
 
-        def run(p: pd.DataFrame) -> pd.DataFrame:
+        def one(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("ts").reset_index(drop=True)
             return p.assign(**{k: pd.array(np.where(np.isnan(x := f(p)), None, x), dtype="Float64") for k, f in kernels.items()})
 
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([one(part) for _, part in p.drop(columns="_bundle").groupby("_stretch", sort=False)])
+
+        # short stretches travel together, so that a group is worth its overhead
         kind = T.StructType([*out.schema.fields, *[T.StructField(k, T.DoubleType()) for k in kernels]])
-        out = out.groupBy("ticker", "_stretch").applyInPandas(run, kind)
+        bundled = out.withColumn("_bundle", F.floor(F.col("_stretch") / 256))
+        out = bundled.groupBy("ticker", "_bundle").applyInPandas(run, kind)
     return out.drop("_stretch").select(*bars.columns, *indicators)
 
 
