@@ -19,7 +19,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -131,7 +130,7 @@ class _Ids(dict):
 
     TAIL = b".,;:!?)]}\"%&*#$"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
@@ -175,10 +174,10 @@ class _Ids(dict):
     def of(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 1024):
-            for known in (self, self.stems):  # what came first is what is frequent: the newer half goes
-                if len(known) > self.most:
-                    for w in list(islice(known, self.most // 2, None)):
-                        del known[w]
+            if len(self) > self.most:
+                self.clear()
+            if len(self.stems) > self.most:
+                self.stems = {b"": b""}
             split = [self.words(t) for t in texts[at : at + 1024]]
             made = [list(map(self.get, words)) for words in split]
             gaps = [[k for k, v in enumerate(m) if v is None] for m in made]
