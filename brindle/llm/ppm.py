@@ -1,18 +1,18 @@
 """Language-model scores: prediction by partial matching over bytes, pretrained on the corpus.
 
-Model.  Texts are bytes with A-Z lower-cased.  The 62 bytes most frequent in the training documents are symbols of their own; the
-rest share one symbol, after which the byte itself is coded by its frequency; the last symbol ends a text and also
-stands before it.  The trie has the contexts of orders 0 to 4.  Those of orders 3 and 4 are hashed to ``2^17`` nodes an
-order, each with a count for every symbol, so its size is bounded (65 MB) whatever the corpus, while every byte of every training document is
-counted; contexts that meet in a node share its counts, and the probabilities of a node still sum to one.  At a node, escape is
-estimated by method D (half a count of each symbol seen goes to the escape); symbols that longer contexts have seen are excluded
-from the counts of shorter ones; below order 0 the symbols never seen are equally likely.
+Model.  Texts are bytes with A-Z lower-cased; the 256 bytes and the end of a text, which also stands before it, are the symbols.
+The trie has every context of orders 0 to 4 that the training documents have, exactly, as rows of a written table that grows with
+the corpus (``contexts``).  At a context, escape is estimated by method D (half a count of each symbol seen goes to the escape);
+symbols that longer contexts have seen are excluded from the counts of shorter ones; below order 0 the symbols never seen are
+equally likely.
 
-Counting adds up per task and is merged by ranges of nodes.  Word counts for the base score are merged by word with
-ordinary aggregates and joined back per block of documents; nothing that grows with the corpus is collected or broadcast.
+Counts are merged by cell with ordinary aggregates.  A block of documents is joined with the contexts it has, as it is with the
+word counts for the base score; nothing that grows with the corpus is collected or broadcast.
 
 Null texts are empty: one token, the end.  Without training documents every probability is uniform and the base score is 0.
 A null id counts as the empty string for the split.  Repeated rows are scored alike, and train as often as they occur.
+
+``Positions`` and ``Model`` are the former model of bounded size (62 symbols, hashed contexts).  The query doesn't use them.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import contexts
 from brindle.llm.common import as_bytes, cut
 
 SYMBOLS, OTHER, END = 64, 62, 63
@@ -34,7 +36,6 @@ NODE_BITS = 17
 CELLS = SYMBOLS << NODE_BITS  # counts of a hashed order
 EXACT = 2 * CELLS  # where the counts of order 2 begin
 TOTAL = EXACT + SYMBOLS**3
-WIDTH = 1 << 18  # counts merged by one group
 MIX = {4: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77)}
 
 
@@ -134,79 +135,12 @@ class Model:
         return np.add.reduceat(each, p.begin).tolist()
 
 
-def histogram(docs: DataFrame) -> np.ndarray:
-    """How often each byte occurs, A-Z lower-cased."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(as_bytes(t).lower(), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256, np.int64)
-    for r in rows:
-        out[r["byte"]] = r["n"]
-    return out
-
-
-def counts(docs: DataFrame, symbol: np.ndarray) -> np.ndarray:
-    """The counts of all nodes over all texts: TOTAL numbers, gathered as those that aren't 0."""
-
-    def packed(at: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-        return zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1), zlib.compress(n.tobytes(), 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TOTAL, np.uint32)  # a task's share of a corpus has fewer bytes than this can count
-        for batch in batches:
-            texts = [as_bytes(t).lower() for t in batch.column(0).to_pylist()]
-            for a in range(0, len(texts), 1000):
-                for begin, cell in Positions(texts[a : a + 1000], symbol).cells():
-                    np.add.at(total, cell.astype(np.intp) + begin, np.uint32(1))
-        shard, at, n = [], [], []
-        for k in range(0, TOTAL, WIDTH):
-            here = total[k : k + WIDTH]
-            own = np.flatnonzero(here)
-            if len(own):
-                a, b = packed(own, here[own].astype(np.int64))
-                shard.append(k // WIDTH)
-                at.append(a)
-                n.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["shard", "at", "n"])
-
-    def opened(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(np.frombuffer(zlib.decompress(a), np.uint32)), np.frombuffer(zlib.decompress(b), np.int64)
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(WIDTH, np.int64)
-        for x, y in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            at, n = opened(x, y)
-            total[at] += n
-        at = np.flatnonzero(total)
-        a, b = packed(at, total[at])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([a], pa.binary()), "n": pa.array([b], pa.binary())})
-
-    kind = "shard int, at binary, n binary"
-    out = np.zeros(TOTAL, np.float32)
-    for r in docs.select("text").mapInArrow(run, kind).groupBy("shard").applyInArrow(merge, kind).toLocalIterator():
-        at, n = opened(bytes(r["at"]), bytes(r["n"]))
-        out[r["shard"] * WIDTH + at] = n
-    return out
-
-
-def train(docs: DataFrame) -> Model:
-    h = histogram(docs)
-    return Model(counts(docs, symbol_of(h)), h)
-
-
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000, order: int = LONGEST) -> DataFrame:
     """RESULT for every (doc_id, text): the base score over word counts and the model's log10 probability."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = spark.sparkContext.broadcast(train(named.where(trains(F.col("doc_id")))))
     blocks = max(1, -(-docs.count() // block_docs))
     placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
@@ -228,10 +162,14 @@ def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000) -> Data
         yield out()
 
     def words_of(key: tuple, table: pa.Table) -> pa.Table:
+        """The block's words, with context 0, and its contexts, with the empty word."""
         known: set[bytes] = {b""}
-        for text in table.column("text").to_pylist():
-            known.update(as_bytes(text).lower().split())
-        return pa.table({"block": pa.array([key[0].as_py()] * len(known), pa.int32()), "word": pa.array(list(known), pa.binary())})
+        texts = [as_bytes(t).lower() for t in table.column("text").to_pylist()]
+        for text in texts:
+            known.update(text.split())
+        own = contexts.needed(texts, order)
+        n = len(known) + len(own)
+        return pa.table({"block": pa.array(np.full(n, key[0].as_py(), np.int32)), "word": pa.array([*known, *[b""] * len(own)], pa.binary()), "context": pa.array(np.concatenate([np.zeros(len(known), np.int64), own]))})
 
     trained = named.where(trains(F.col("doc_id"))).select("text").mapInArrow(count_words, "word binary, n long")
     totals = cut(spark, trained.groupBy("word").agg(F.sum("n").alias("total")))
@@ -239,13 +177,14 @@ def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000) -> Data
     scale = np.log10(float(tokens + kinds + 1))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = dict(zip(right.column("word").to_pylist(), right.column("total").to_pylist()))
-        m = model.value
+        is_word = pc.equal(right.column("context"), 0)
+        word, rest = right.filter(is_word), right.filter(pc.and_(pc.invert(is_word), right.column("cells").is_valid()))
+        seen = dict(zip(word.column("word").to_pylist(), word.column("total").to_pylist()))
+        packed = rest.column("cells")
+        m = contexts.Rows(rest.column("context").to_numpy(), pc.list_value_length(packed).to_numpy(), pc.list_flatten(packed).to_numpy(), order)
         cols: list[list] = [[], [], [], [], [], [], []]
         texts = [as_bytes(t) for t in left.column("text").to_pylist()]
-        marks: list[float] = []
-        for a in range(0, len(texts), 200):
-            marks += m.scores(texts[a : a + 200])
+        marks = m.scores(texts)
         for doc, raw, mark in zip(left.column("doc_id").to_pylist(), texts, marks):
             have = np.array([*map(seen.__getitem__, raw.lower().split()), seen[b""]], np.float64)
             for c, v in zip(cols, (doc, held_out(doc), len(have), int((have > 0).sum()), tokens, float(np.log10(have + 1).sum() - len(have) * scale), mark)):
@@ -253,7 +192,10 @@ def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000) -> Data
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    # one exchange of the texts serves both the blocks' words and the scoring
-    words = placed.groupBy("block").applyInArrow(words_of, "block int, word binary")
-    joined = words.join(totals, "word", "left").select("block", "word", F.coalesce("total", F.lit(0)).alias("total"))
+    grown = cut(spark, contexts.trie(named.where(trains(F.col("doc_id"))), order))
+    table = totals.select("word", F.lit(0).cast("long").alias("context"), "total", F.lit(None).cast("array<long>").alias("cells"))
+    table = table.unionByName(grown.select(F.lit(b"").alias("word"), "context", F.lit(0).cast("long").alias("total"), "cells"))
+    # one exchange of the texts serves both what the blocks look up and the scoring
+    wanted = placed.groupBy("block").applyInArrow(words_of, "block int, word binary, context long")
+    joined = wanted.join(table, ["word", "context"], "left").select("block", "word", "context", F.coalesce("total", F.lit(0)).alias("total"), "cells")
     return placed.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(score, RESULT)
