@@ -149,7 +149,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, percent: i
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Links that join different components of a bucket, at most one for each two components that meet.
 
-    rows: bucket, band, id, component, marks, shingles.  A bucket of over CROWD rows is dealt to parts, and every two
+    rows: bucket, band, id, component, marks, bands, shingles.  A bucket of over CROWD rows is dealt to parts, and every two
     parts of it are compared in a task of their own, so no task holds more than 2 * CROWD rows of it, more or less.
     """
 
@@ -158,6 +158,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         ids, part = np.array(table.column("id")), np.array(table.column("part"))
         comp = np.unique(np.array(table.column("component")), return_inverse=True)[1]
         m = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
         flat = table.column("shingles").combine_chunks()
         begin, values = np.array(flat.offsets), np.array(flat.values)
         band, two = int(np.array(table.column("band"))[0]), key[1].as_py() != key[2].as_py()
@@ -169,7 +170,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             same = m[rest] == m[i]
             good = same.sum(axis=1) >= AGREE * m.shape[1]
             if band:  # a pair that shares an earlier band is compared there
-                good &= ~same[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+                good &= ~(bands[rest, :band] == bands[i, :band]).any(axis=1)
             x = values[begin[i] : begin[i + 1]]
             for j in rest[good].tolist():
                 if comp[i] != comp[j]:
@@ -214,7 +215,7 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     named = buckets.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rows = cut(spark, named.join(mixed, "bucket").select("bucket", "band", "id", "component"))
-    sets = _sets(docs, rows.select("id").distinct()).join(marks, "id")
+    sets = _sets(docs, rows.select("id").distinct()).join(firsts.select("id", "marks", "bands"), "id")
     more = cut(spark, _across(rows.join(sets, "id"), percent))
     if not more.isEmpty():
         found = cut(spark, components(spark, links.unionByName(more)))
