@@ -158,7 +158,8 @@ class _Ids(dict):
                 cut.append((w, stem))
                 continue
             text = stem.decode("utf-8", "replace")
-            if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and is_normalized("NFC", text))):
+            # a capital dotted I lowers to two characters, the second of which is no letter and splits the word
+            if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and is_normalized("NFC", text) and text.lower().isalpha() and is_normalized("NFC", text.lower()))):
                 stems[stem] = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.shown)
                 cut.append((w, stem))
             else:

@@ -1,8 +1,10 @@
-"""Pairs that a shortcut used to lose."""
+"""Pairs and words that a shortcut used to lose."""
 
 import numpy as np
 
 from brindle.llm import minhash
+from brindle.llm.packing import _Ids
+from brindle.llm.queries import tokenizer
 
 
 def test_low_bytes_that_agree_in_an_earlier_band_do_not_hide_a_pair(spark):
@@ -15,3 +17,9 @@ def test_low_bytes_that_agree_in_an_earlier_band_do_not_hide_a_pair(spark):
     # one that shares an earlier band is compared there
     rows[1] = (*rows[1][:5], bands, rows[1][6])
     assert minhash._across(spark.createDataFrame(rows, kind), 75).collect() == []
+
+
+def test_a_word_whose_lower_case_is_no_longer_all_letters():
+    ids = _Ids(tokenizer("word_bpe_49k.json"))
+    for text in ("İstanbul", "İ", "xİy,", "École İzmir."):
+        assert ids.of([text]) == ids.encode(ids.library, [text])
