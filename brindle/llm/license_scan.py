@@ -8,7 +8,8 @@ probability 0.52^32, under 1e-9.  Candidates are then checked exactly: the share
 window and half its length to either side must be 75 % or more.
 
 Windows that hold no shingle of any template cannot match and are not hashed.  Null, empty and blank texts have no licence.
-Templates shorter than five words are one shingle.  The library is a fixed table, the same for every input.
+Templates shorter than five words are one shingle of their own length, which is looked for as such.  Of two alike templates
+the better match counts where they match the same passage; elsewhere in the document the other one stands.  The library is a fixed table, the same for every input.
 """
 
 from __future__ import annotations
@@ -77,15 +78,25 @@ class Library:
         self.words, self.k = WordHash(), k
         self.seeds = seeds(BANDS, 77)
         kept: dict[tuple[str, bytes], np.ndarray] = {}
+        short: dict[tuple[str, bytes], int] = {}
         for name, text in texts:
-            x = np.unique(self.shingles(as_bytes(text)))
+            raw = as_bytes(text)
+            x = np.unique(self.shingles(raw))
             kept.setdefault((name, x.tobytes()), x)
+            if 0 < (n := len(_WORD.findall(raw.lower()))) < k:
+                short[name, x.tobytes()] = n
         self.names = [n for n, _ in kept]
         self.sets = list(kept.values())
-        self.all = np.unique(np.concatenate(self.sets))
-        self.sizes = sorted({len(x) for x in self.sets})
+        self.short: dict[int, list[int]] = {}  # words of a template with fewer than k of them -> templates
+        for i, key in enumerate(kept):
+            if key in short:
+                self.short.setdefault(short[key], []).append(i)
+        rest = [i for i, key in enumerate(kept) if key not in short]
+        self.all = np.unique(np.concatenate([np.empty(0, np.uint64), *[self.sets[i] for i in rest]]))
+        self.sizes = sorted({len(self.sets[i]) for i in rest})
         self.bands: dict[tuple[int, int, int], list[int]] = {}
-        for i, x in enumerate(self.sets):
+        for i in rest:
+            x = self.sets[i]
             for j, h in enumerate(self.minima(x)):
                 self.bands.setdefault((len(x), j, int(h)), []).append(i)
 
@@ -97,13 +108,18 @@ class Library:
 
     def scan(self, raw: bytes) -> tuple[int, dict[int, float]]:
         """Windows hashed, and template -> containment of those found."""
-        h = self.shingles(raw)
-        at = np.searchsorted(self.all, h)
-        hit = np.flatnonzero(self.all[np.minimum(at, len(self.all) - 1)] == h)
-        windows, found = 0, {}
-        if not len(hit):
-            return 0, found
-        for m in self.sizes:
+        w = self.words.of(_WORD.findall(raw.lower()))
+        windows, found = 0, {}  # template -> containment, begin and end of each match
+        for n, own in self.short.items():
+            x = shingle_hashes(w, n) if len(w) >= n else w[:0]
+            for i in own:
+                at = np.flatnonzero(x == self.sets[i][0])
+                windows += len(at)
+                if len(at):
+                    found[i] = [(1.0, a, a + 1) for a in at.tolist()]
+        h = shingle_hashes(w, self.k)
+        hit = np.flatnonzero(np.isin(h, self.all))
+        for m in self.sizes if len(hit) else ():
             step = max(1, m // 4)
             first = np.unique(np.concatenate([np.maximum(0, (hit - m + step) // step + d) for d in range(-(-m // step))]))
             for a in (first * step).tolist():
@@ -117,8 +133,22 @@ class Library:
                         wide = h[max(0, a - m // 2) : a + m + m // 2]
                     common = int(np.isin(self.sets[i], wide).sum())
                     if 100 * common >= CONTAINED * len(self.sets[i]):
-                        found[i] = max(found.get(i, 0.0), common / len(self.sets[i]))
-        return windows, {i: c for i, c in found.items() if not any(found[j] > c and self.alike(i, j) for j in found)}
+                        own = a + np.flatnonzero(np.isin(h[a : a + m], self.sets[i]))
+                        found.setdefault(i, []).append((common / len(self.sets[i]), int(own[0]), int(own[-1]) + 1))
+        return windows, self.standing(found)
+
+    def standing(self, found: dict[int, list[tuple[float, int, int]]]) -> dict[int, float]:
+        """template -> its best containment, of matches that no alike template matches better in the same place (over half of it)."""
+        spots, out = {i: np.array(v) for i, v in found.items()}, {}
+        for i, own in found.items():
+            rivals = [spots[j] for j in found if j != i and self.alike(i, j)]
+            other = np.concatenate(rivals) if rivals else np.empty((0, 3))
+            for c, begin, end in sorted(own, reverse=True):
+                shared = np.minimum(other[:, 2], end) - np.maximum(other[:, 1], begin)
+                if not ((other[:, 0] > c) & (2 * shared > end - begin)).any():
+                    out[i] = c
+                    break
+        return out
 
     def alike(self, i: int, j: int) -> bool:
         """Whether template i says mostly what j says; the better match of such two counts."""

@@ -1,8 +1,10 @@
-"""Pairs and words that a shortcut used to lose."""
+"""Pairs, words and notices that a shortcut used to lose."""
+
+import random
 
 import numpy as np
 
-from brindle.llm import minhash
+from brindle.llm import license_scan, minhash
 from brindle.llm.packing import _Ids
 from brindle.llm.queries import tokenizer
 
@@ -23,3 +25,18 @@ def test_a_word_whose_lower_case_is_no_longer_all_letters():
     ids = _Ids(tokenizer("word_bpe_49k.json"))
     for text in ("İstanbul", "İ", "xİy,", "École İzmir."):
         assert ids.of([text]) == ids.encode(ids.library, [text])
+
+
+def test_short_notices_and_notices_in_different_places():
+    library = license_scan.Library(license_scan.templates())
+    names = lambda text: {library.names[i] for i in library.scan(text.encode())[1]}
+    rng = random.Random(3)
+    noise = " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(300))
+    for name in ("MIT", "ISC"):
+        short = f"Licensed under {name} License"
+        assert names(short) == names(f"{noise} {short}. {noise}") == {name}
+    assert names("under MIT License") == set()
+    two, three = license_scan.TEXTS["GPL-2.0"].replace("published by", "issued by"), license_scan.TEXTS["GPL-3.0"]
+    assert names(f"{noise} {three} {noise}") == {"GPL-3.0"}
+    assert names(f"{noise} {two} {noise}") == {"GPL-2.0"}
+    assert names(f"{three} {noise} {two}") == names(f"{two} {noise} {three}") == names(f"{three} {two}") == {"GPL-2.0", "GPL-3.0"}
