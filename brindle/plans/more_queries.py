@@ -202,8 +202,7 @@ def garch_fit(spark, d):
 def garch_walk_forward(spark, d):
     from brindle.operators import fitted as M
 
-    rets = B.returns(S.daily(spark, d), "log").where("ts >= '2000-01-01'")
-    return M.walk_forward(rets, first=300, every=100, horizons=(1, 5)).groupBy("ticker", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("variance").alias("variance"))
+    return M.walk_forward(B.returns(S.daily(spark, d), "log"), first=300, horizons=(1, 5)).groupBy("ticker", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("variance").alias("variance"))
 
 
 @query()
@@ -246,7 +245,7 @@ def random_timing(spark, d):
     from brindle.operators import backtest as T
     from brindle.operators import selection
 
-    return selection.random_timing(T.momentum(S.daily(spark, d), (10, 20)), samples=40, per_task=20)
+    return selection.random_timing(T.momentum(S.daily(spark, d), (10, 20)))
 
 
 @query(f"""WITH {S.DAILY}, n AS (SELECT count(DISTINCT ticker) AS n FROM bars), f AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT ticker) = (SELECT n FROM n)) SELECT ticker, epoch_us(bars.ts) AS ts, round(close, 8) + 0.0 AS close FROM bars SEMI JOIN f ON bars.ts = f.ts""", digits=8)
@@ -282,8 +281,7 @@ def session_reopenings(spark, d):
 def component_garch_fit(spark, d):
     from brindle.operators import fitted as M
 
-    rets = B.returns(S.daily(spark, d), "log").where("ts >= '2000-01-01'")
-    return M.fit_variance(rets, model="cgarch").where("name = 'rho'").select("ticker", "name", F.round("value", 1).alias("value"))
+    return M.fit_variance(B.returns(S.daily(spark, d), "log"), model="cgarch").where("name = 'rho'").select("ticker", "name", F.round("value", 1).alias("value"))
 
 
 @query()
@@ -307,8 +305,8 @@ def volatility_targeted(spark, d):
     from brindle.operators import backtest as T
     from brindle.operators import fitted as M
 
-    b = S.daily(spark, d).where("ts >= '2000-01-01'")
-    out = M.targeted(M.walk_forward(B.returns(b, "log"), first=300, every=200), b, target=0.1)
+    b = S.daily(spark, d)
+    out = M.targeted(M.walk_forward(B.returns(b, "log"), first=300), b, target=0.1)
     return out.groupBy("trial", "ticker").agg(F.count("net").alias("n"), F.avg("position").alias("exposure"), F.max(F.abs("position")).alias("most"))
 
 
