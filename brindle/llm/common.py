@@ -9,9 +9,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ WORD_SEPARATORS = r"[ \t\n\u000B\f\r]+"
 #: Rows that may be broadcast after they have been counted; beyond it a shuffled join is used.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of text that a Python worker turns into one array of results; longer batches are cut, single rows never are.
+BATCH_BYTES = 1 << 25
+
 U = np.uint64
 M64 = (1 << 64) - 1
 
@@ -76,11 +82,13 @@ def shingle_set(text: str | None, words: WordHash, k: int = 5) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="brindle-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -146,3 +154,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in batches whose strings have about ``most`` bytes at most, or one row."""
+    for batch in batches:
+        if batch.num_rows < 2 or batch.nbytes <= most:
+            yield batch
+            continue
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        begin, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if i > begin and held + n > most:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        yield batch.slice(begin)
