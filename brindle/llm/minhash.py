@@ -15,8 +15,11 @@ there pairs of classes from different components are compared in memory, by sket
 join two components come out.  A pair is checked if its sketches agree in 60 % of bins, six standard deviations below
 0.75.  Every link that the bands retrieve is so either verified or lies within a component already.
 
-Empty, blank and null texts have an empty set and are linked with nothing.  A null id is a document of its own that is never linked.
-Repeated rows of one id fall into one component with themselves.  Empty tables give none.
+Defined cases.  Empty, blank and null texts have an empty set and are linked with nothing.  A null id is a document of its own that is
+never linked.  Rows of one id are one document: where their texts differ it has the links of each of them, and all its rows with words the same
+component.  Ties cannot arise, since the smallest id is kept; of repeated rows ``keep_one`` keeps any one.  Texts may be of any length: batches
+are cut by bytes, a set is never.  Empty tables give no rows.  Columns other than doc_id and text are ignored by ``near_duplicates`` and carried by
+``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U, WordHash, cut, drop_cut, mix, scratch, seeds, shingle_set, small
+from brindle.llm.common import U, WordHash, cut, drop_cut, in_pieces, mix, scratch, seeds, shingle_set, small
 from brindle.llm.components import components
 
 BINS, ROWS = 300, 6
@@ -87,7 +90,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_hash()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in in_pieces(batches):
                 n, f1, f2, marks, bands = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     x = shingle_set(text, words)
@@ -108,7 +111,7 @@ def shingles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_hash()
-        for batch in batches:
+        for batch in in_pieces(batches):
             made = [shingle_set(t, words).astype(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "shingles"])
 
@@ -130,10 +133,10 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles of the documents named in ``ids``."""
+    """id, shingles of the documents named in ``ids``: a row per different set of a document."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # where rows of an id repeat, one is enough
-    return shingles(named.join(small(ids), named["doc_id"] == ids["id"], "left_semi")).groupBy("id").agg(F.max("shingles").alias("shingles"))
+    sets = shingles(named.join(small(ids), named["doc_id"] == ids["id"], "left_semi"))
+    return sets.groupBy("id", F.xxhash64("shingles").alias("set")).agg(F.max("shingles").alias("shingles")).drop("set")
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -198,6 +201,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
         return keep(_groups(spark, docs, percent))
 
 
+def _same_document(spark: SparkSession, every: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of documents that have rows with different sets; None if there are no such documents."""
+    kind = ["n_shingles", "f1", "f2"]
+    rows = every.where("n_shingles > 0 and doc_id is not null")
+    several = cut(spark, rows.groupBy("doc_id").agg(F.min(F.struct(*kind)).alias("lo"), F.max(F.struct(*kind)).alias("hi")).where("lo < hi").select("doc_id"))
+    if several.isEmpty():
+        return None
+    own = cut(spark, rows.join(small(several), "doc_id", "left_semi").join(classes.select(*kind, "class_id"), kind).select("doc_id", F.col("class_id").alias("b")).distinct())
+    return own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a < b").select("a", "b")
+
+
 def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     every = cut(spark, profiles(docs))
     # a class is a row from here on; partial minima are taken before the shuffle, so many copies are few rows
@@ -210,7 +224,9 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     buckets = cut(spark, placed.join(crowded, "bucket").select("bucket", "band", "id", "least"))
 
     stars = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(spark, _verified(spark, _agreeing(stars, marks), docs, percent))
+    links = _verified(spark, _agreeing(stars, marks), docs, percent)
+    together = _same_document(spark, every, classes)
+    links = cut(spark, links if together is None else links.unionByName(together))
     found = cut(spark, components(spark, links))
     named = buckets.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")

@@ -128,6 +128,17 @@ def test_a_crowd_of_chained_near_copies_is_one_component(spark, monkeypatch):
     assert {r["component_id"] for r in out} == {941}
 
 
+def test_rows_of_one_document_with_different_texts_share_their_links(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t + " more"
+    table = [(3, a), (5, near(a)), (5, b), (7, near(b)), (7, None), (9, c), (9, d), (4, near(d)), (8, near(c)), (9, c), (12, "alone")]
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, spark.createDataFrame(table, "doc_id long, text string")).collect())
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 7, True), (9, 4, False), (9, 4, False), (9, 4, False), (4, 4, True), (8, 4, False), (12, 12, True)]
+    assert got == collections.Counter(want)
+
+
 def removed_by_brute_force(table, length=50):
     first = {}
     for d, t in sorted(((d, (t or "").encode()) for d, t in table if d is not None), key=lambda r: r[0]):
