@@ -1,6 +1,6 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt to groups at random (by a hash of the row), each group is packed on its own, and the number of groups
+Documents are dealt to groups at random (by a hash of id and text's ids), each group is packed on its own, and the number of groups
 follows the number of documents, so a group's size is bounded whatever the input.  Within a group:
 
 * a document longer than ``length`` gives whole pieces of ``length`` ids and a remainder;
@@ -8,8 +8,10 @@ follows the number of documents, so a group's size is bounded whatever the input
   the largest free capacity below them (O(log n) a piece);
 * the emptiest bins are then broken up: their pieces are cut to fill holes of ``min_cut`` ids or more in the others.
 
-Nulls and empty texts are documents of the closing id alone.  Repeated rows are packed as separate documents.  An empty
-table gives no rows.  Columns other than the id and text are ignored, so clashing names do no harm.
+Defined cases.  Null and empty texts are documents of the closing id alone; a null id is packed like any other.  Repeated rows are packed
+as separate documents; equal ones lie in one group.  Ties of length go by id, nulls last, then by the ids themselves.  Texts may be of any length: batches are cut by
+bytes, a document is cut over as many sequences as it needs.  An empty table gives no rows.  Columns other than the id and text are ignored,
+so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import as_bytes
+from brindle.llm.common import as_bytes, in_pieces
 from brindle.llm.token_counts import byte_alphabet
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -199,7 +201,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _known.get(tokenizer_path) or _known.setdefault(tokenizer_path, _Ids(tokenizer_path))
         end = array(ids.kind, [end_id]).tobytes()
-        for batch in batches:
+        for batch in in_pieces(batches):
             made = [x + end for x in ids.of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
@@ -216,8 +218,9 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     kind = np.uint32 if wide else np.uint16
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        doc, blobs = table.column("doc_id").to_pylist(), [np.frombuffer(b, kind) for b in table.column("ids").to_pylist()]
-        order = sorted(range(len(doc)), key=lambda i: (doc[i] is None, doc[i] or 0, len(blobs[i])))
+        doc, raw = table.column("doc_id").to_pylist(), table.column("ids").to_pylist()
+        blobs = [np.frombuffer(b, kind) for b in raw]
+        order = sorted(range(len(doc)), key=lambda i: (doc[i] is None, doc[i] or 0, len(blobs[i]), raw[i]))
         pieces = pack([len(blobs[i]) for i in order], length, min_cut)
         base = key[0].as_py() << 32
         cols = [[], [], [], [], [], [], []]
@@ -227,5 +230,5 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
                 c.append(v)
         return pa.table(dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), (pa.array(c, pa.int64()) for c in cols))))
 
-    dealt = tokenize(docs, tokenizer_path, end_id).withColumn("pack_group", F.pmod(F.xxhash64(F.lit("deal"), "doc_id"), F.lit(groups)))
+    dealt = tokenize(docs, tokenizer_path, end_id).withColumn("pack_group", F.pmod(F.xxhash64(F.lit("deal"), "doc_id", "ids"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(run, SCHEMA)
