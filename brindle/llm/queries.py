@@ -67,7 +67,7 @@ OP6_SQL = r"""
 WITH sized AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS size,
     coalesce(length(text), 0) AS chars, coalesce(length(text), 0) - coalesce(length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0) AS symbols,
-    (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 keyed AS (
   SELECT *, -ln(u) / CASE WHEN chars = 0 THEN 0.05::DOUBLE ELSE greatest(0.05::DOUBLE, 1.0::DOUBLE - symbols::DOUBLE / greatest(chars, 1)::DOUBLE) END AS key FROM sized),
