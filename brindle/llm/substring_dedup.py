@@ -13,10 +13,14 @@ the input, they never cross documents, and every one is looked at:
     common prefixes.  Each run is one string, and has its smallest document in the corpus.
 5.  That goes back to the buckets, where the bytes are removed.
 
-The texts are shuffled once; the steps above read the same exchange.  A shard's size is the data's over the number of shards.
-
-Null texts are empty.  A null id is never smaller than another and is left alone.  Rows of one id don't remove each other's bytes.  Texts shorter than
-``length`` stay.  Empty tables give none.
+The texts are shuffled once; the steps above read the same exchange.  Shards follow the number of documents.  A gram that stands in more than
+``crowded`` buckets, as boilerplate does, is not left to one shard: its strings are dealt by eight more of their own bytes, those after the gram
+where they lie in the string and those before it otherwise, so equal strings still meet.
+
+Defined cases.  Null and empty texts have no bytes and stay.  A null id is never smaller than another: its text stays, and takes nothing from
+others.  Rows of one id don't remove each other's bytes, whether their texts are equal or differ; each removes from larger ids.  Repeated rows each get a row, alike.
+Texts shorter than ``length`` stay; long ones are never cut.  Empty tables give no rows.  Columns other than doc_id and text are ignored, and with ``carry`` held
+in ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ from brindle.llm.common import U, as_bytes, cut, drop_cut, mix, small
 from brindle.llm.suffix_arrays import eights, shared_prefixes, suffix_array
 
 GRAM = 16
+#: Bytes next to a crowded gram by which its strings are dealt, and the shortest strings that have them on one side or the other.
+BESIDE = 8
+SPLITS_FROM = GRAM + 2 * BESIDE - 1
 BLOBS = "bucket int, shard int, kind int, a binary, b binary, c binary, d binary"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -107,9 +114,30 @@ class Bucket:
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         return h[begin], np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
 
+    def split(self, crowded: np.ndarray) -> None:
+        """Cut the runs of crowded grams by the side on which a string has BESIDE more bytes, and add those bytes to the key."""
+        self.key = self.hash.copy()
+        if self.length < SPLITS_FROM or not len(crowded) or not len(self.first):
+            return
+        hot = np.isin(self.hash & TOP, crowded)
+        if not hot.any():
+            return
+        edge = self.owner[hot] - (self.length - GRAM - BESIDE)  # from here on a string has the bytes after its gram
+        parts = []
+        for first, last, at, side in ((self.first[hot], np.minimum(self.last[hot], edge - 1), self.owner[hot] - BESIDE, 1), (np.maximum(self.first[hot], edge), self.last[hot], self.owner[hot] + GRAM, 2)):
+            some = first <= last
+            beside = np.ascontiguousarray(self.t[at[some, None] + np.arange(BESIDE)]).view(np.uint64).ravel()
+            with np.errstate(over="ignore"):
+                key = mix(self.hash[hot][some] ^ mix(beside + U(side)))
+            parts.append((first[some], last[some], self.owner[hot][some], self.hash[hot][some], self.of[hot][some], key))
+        kept = tuple(x[~hot] for x in (self.first, self.last, self.owner, self.hash, self.of, self.key))
+        every = [np.concatenate(x) for x in zip(kept, *parts)]
+        order = np.argsort(every[0], kind="stable")
+        self.first, self.last, self.owner, self.hash, self.of, self.key = (x[order] for x in every)
+
     def contexts(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts of runs whose gram is shared, as they first occur (rows are sorted, so in the same order each time); their smallest and largest documents; the runs, and each one's context."""
-        runs = np.flatnonzero(np.isin(self.hash, shared)) if len(self.first) else np.empty(0, np.int64)
+        runs = np.flatnonzero(np.isin(self.hash & TOP, shared)) if len(self.first) else np.empty(0, np.int64)
         text, length = self.text, self.length
         held = [text[a : b + length] for a, b in zip(self.first[runs].tolist(), self.last[runs].tolist())]
         number: dict[bytes, int] = {}
@@ -138,8 +166,12 @@ def _long(blob: bytes) -> np.ndarray:
     return x.view(np.uint64).ravel()
 
 
-def _shared(blobs: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([_long(b) for b in blobs])) if blobs else np.empty(0, np.uint64)
+def _shared(grams: list[bytes], crowded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shared grams that a bucket has been told, and the crowded ones among them."""
+    if not grams:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    h = np.concatenate([_long(b) for b in grams])
+    return np.unique(h), np.unique(h[np.concatenate([np.frombuffer(b, bool) for b in crowded])])
 
 
 TOP = U(0xFFFFFFFFFF000000)
@@ -172,7 +204,7 @@ def shortest_documents(names: list[bytes], docs: np.ndarray, grams: np.ndarray,
     return offset, out
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucket_docs: int = 1000, shard_docs: int = 2000, shards: int | None = None, carry: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucket_docs: int = 1000, shard_docs: int = 2000, shards: int | None = None, carry: bool = False, crowded: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or, with ``carry``, kept (binary) and ``row`` (the whole row but its text), of every (doc_id, text).
 
     ``length`` is 24 at least.  Shards and buckets follow the number of documents, so each is
@@ -216,23 +248,22 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
         at, a, b = (table.column(c).to_pylist() for c in ("bucket", "a", "b"))
         each = [_long(x) for x in a]
         h, twice = np.concatenate(each), np.concatenate([np.frombuffer(x, bool) for x in b])
-        found, number = np.unique(h, return_inverse=True)
-        n = np.bincount(number) + np.bincount(number, weights=twice).astype(np.int64)
-        good = np.isin(h, found[n > 1])
+        _, number = np.unique(h, return_inverse=True)
+        in_buckets = np.bincount(number)
+        good = (in_buckets + np.bincount(number, weights=twice) > 1)[number]
+        hot = (in_buckets > crowded)[number]
         cuts = np.cumsum([0, *map(len, each)])
-        return _blobs([(k, key[0].as_py(), 1, _short(h[i:j][good[i:j]]).tobytes(), b"", b"", b"") for k, i, j in zip(at, cuts, cuts[1:]) if good[i:j].any()])
+        return _blobs([(k, key[0].as_py(), 1, _short(h[i:j][good[i:j]]).tobytes(), hot[i:j][good[i:j]].tobytes(), b"", b"") for k, i, j in zip(at, cuts, cuts[1:]) if good[i:j].any()])
 
     def contexts(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         bucket = Bucket(table, length)
-        bucket_hash = bucket.hash & TOP if len(bucket.first) else bucket.hash
-        known = _shared(told.column("a").to_pylist())
-        full = bucket.hash
-        bucket.hash = bucket_hash
+        known, hot = _shared(told.column("a").to_pylist(), told.column("b").to_pylist())
+        bucket.split(hot)
         names, lo, hi, runs, which = bucket.contexts(known)
         if not names:
             return _blobs([])
         gram = np.zeros(len(names), np.uint64)
-        gram[which] = full[runs]
+        gram[which] = bucket.key[runs]
         shard = (gram % U(shards)).astype(np.int64)
         rows = []
         for s in np.unique(shard).tolist():
@@ -277,9 +308,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
         bucket = Bucket(table, length)
         kind = np.array(told.column("kind").to_pylist())
         cols = [told.column(c).to_pylist() for c in "abcd"]
-        if len(bucket.first):
-            bucket.hash = bucket.hash & TOP
-        names, _, _, runs, which = bucket.contexts(_shared([cols[0][i] for i in np.flatnonzero(kind == 1)]))
+        known, hot = _shared(*([c[i] for i in np.flatnonzero(kind == 1)] for c in cols[:2]))
+        bucket.split(hot)
+        names, _, _, runs, which = bucket.contexts(known)
         said = np.flatnonzero(kind == 3)
         cover = np.zeros(len(bucket.t) + 1, np.int32)
         if len(said):

@@ -3,10 +3,12 @@
 ``suffix_array`` follows induced sorting: suffixes are classified as smaller or larger than their successor, the leftmost-smaller
 (LMS) substrings are sorted by inducing, named, and, where names repeat, their sequence is sorted in turn; from the sorted LMS
 suffixes the larger and then the smaller suffixes are induced in one pass each.  A pass goes through the 256 buckets and handles
-what stands in a bucket at once; suffixes induced into the bucket being read form its next wave, so the order is that of the
-sequential scan.  The alphabet of names is as large as the text, for which buckets don't pay; their sequence is sorted by prefix doubling.
+what stands in a bucket at once: what it induces within the bucket lies along runs of one byte and is written down in one step, and
+what it induces elsewhere is dealt out by a stable sort of bytes, which is a radix sort, so a pass takes time in proportion to the text and
+gives the order of the sequential scan.  The alphabet of names is as large as the text, for which buckets don't pay in whole-array steps; their sequence is
+sorted by prefix doubling.
 
-Suffixes need only be told apart by their first ``depth`` bytes; ties beyond come in any order.
+Suffixes need only be told apart by their first ``depth`` bytes; ties beyond come in any order.  Empty texts give an empty array.
 """
 
 from __future__ import annotations
@@ -38,48 +40,64 @@ def _spread(places: np.ndarray, chars: np.ndarray, into: list[list[np.ndarray]])
         into[chars[a]].append(places[a:b])
 
 
+def _runs(t: np.ndarray) -> np.ndarray:
+    """How many bytes equal to each place's own stand right before it."""
+    place = np.arange(len(t))
+    begins = np.where(np.r_[True, t[1:] != t[:-1]], place, 0)
+    return (place - np.maximum.accumulate(begins)).astype(np.int32)
+
+
+def _along(first: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Places ``first`` and those that they induce in their own bucket, one byte further left at a time, in the order of the scan."""
+    back = run[first]
+    most = int(back.max(initial=0))
+    if most > 32:  # long runs of one byte: all their places at once
+        times = back + 1
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return (np.repeat(first, times) - step)[np.argsort(step, kind="stable")]
+    out, live = [first], first
+    for k in range(1, most + 1):
+        goes_on = back >= k
+        live, back = live[goes_on] - 1, back[goes_on]
+        out.append(live)
+    return np.concatenate(out)
+
+
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per character: its larger suffixes in order, and its smaller ones in falling order.  lms: LMS places in the order they are to have."""
+    """Per character: its larger suffixes in order, and its smaller ones in falling order.  lms: LMS places in the order they are to have.
+
+    A bucket's own places are those induced from other buckets and, from them, those along runs of its byte, which have the same type.
+    """
     seeds: list[list[np.ndarray]] = [[] for _ in range(256)]
     _spread(lms, t[lms], seeds)
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     last = len(t) - 1
     larger[t[last]].append(np.array([last]))  # the empty suffix comes first of all
-    up = []
+    run = _runs(t)
 
-    def before(now: np.ndarray, kind: bool) -> np.ndarray:
+    def induce(now: np.ndarray, kind: bool, c: int, into: list[list[np.ndarray]]) -> None:
+        """What places of bucket c induce in other buckets."""
         now = now[now > 0] - 1
-        return now[small[now] == kind]
+        now = now[small[now] == kind]
+        chars = t[now]
+        other = chars != c
+        _spread(now[other], chars[other], into)
 
+    none = np.empty(0, np.int64)
+    up, down = [none] * 256, [none] * 256
     for c in range(256):
-        done: list[np.ndarray] = []
-        wave = np.concatenate(larger[c]) if larger[c] else np.empty(0, np.int64)
-        while len(wave):
-            done.append(wave)
-            p = before(wave, False)
-            ch = t[p]
-            here = ch == c
-            _spread(p[~here], ch[~here], larger)
-            wave = p[here]
-        up.append(np.concatenate(done) if done else np.empty(0, np.int64))
-        for part in seeds[c]:
-            p = before(part, False)
-            _spread(p, t[p], larger)
+        if larger[c]:
+            up[c] = _along(np.concatenate(larger[c]), run)
+            induce(up[c], False, c, larger)
+        if seeds[c]:
+            induce(np.concatenate(seeds[c]), False, c, larger)
     smaller: list[list[np.ndarray]] = [[] for _ in range(256)]
-    down: list[np.ndarray] = [np.empty(0, np.int64)] * 256
     for c in range(255, -1, -1):
-        done = []
-        wave = np.concatenate(smaller[c]) if smaller[c] else np.empty(0, np.int64)
-        while len(wave):
-            done.append(wave)
-            p = before(wave, True)
-            ch = t[p]
-            here = ch == c
-            _spread(p[~here], ch[~here], smaller)
-            wave = p[here]
-        down[c] = np.concatenate(done) if done else np.empty(0, np.int64)
-        p = before(up[c][::-1], True)
-        _spread(p, t[p], smaller)
+        if smaller[c]:
+            down[c] = _along(np.concatenate(smaller[c]), run)
+            induce(down[c], True, c, smaller)
+        if len(up[c]):
+            induce(up[c][::-1], True, c, smaller)
     return up, down
 
 

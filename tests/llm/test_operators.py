@@ -165,8 +165,10 @@ def test_repeats_in_periodic_and_random_bytes(spark):
     rng = random.Random(9)
     part = "".join(rng.choice("abé") for _ in range(300))
     table = [(i, rng.choice(["=" * rng.randint(0, 200), "abc " * rng.randint(0, 60), part[rng.randrange(200) :], part[: rng.randrange(300)] + "q", "".join(rng.choice("xy") for _ in range(120))])) for i in range(40)]
-    got = substring_dedup.remove_repeats(spark, spark.createDataFrame(table, "doc_id long, text string"), bucket_docs=7, shards=4).collect()
-    assert collections.Counter(map(tuple, got)) == removed_by_brute_force(table)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    for crowded, length in ((64, 50), (0, 50), (2, 50), (1, 31), (0, 24)):  # grams are split in few buckets or many
+        got = substring_dedup.remove_repeats(spark, docs, length, bucket_docs=7, shards=4, crowded=crowded).collect()
+        assert collections.Counter(map(tuple, got)) == removed_by_brute_force(table, length)
 
 
 def test_the_stage_keeps_rows_and_columns(spark, docs):
@@ -206,6 +208,19 @@ def test_mixing(docs):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
 
 
+def test_slices_change_nothing_and_spread_the_keys(spark, docs):
+    one = sorted(map(tuple, mixing.mix(docs, slices=1).collect()), key=str)
+    assert one == sorted(map(tuple, mixing.mix(docs, slices=1000).collect()), key=str)
+    # documents of any quality, and those without id, lie in many slices
+    curve = lambda key: 1 - sum(math.exp(-key * r) for r in mixing.RATES) / len(mixing.RATES)
+    rng = random.Random(3)
+    for q in (1.0, 0.7, 0.3, 0.12, 0.05):
+        held = collections.Counter(int(512 * curve(-math.log(rng.random()) / q)) for _ in range(50_000))
+        assert max(held.values()) < 8 * 50_000 / 512
+    keys = spark.createDataFrame([(None, f"text {i}") for i in range(50)], "doc_id long, text string").select(mixing.uniform(F.col("doc_id"), F.col("text")).alias("u")).distinct().count()
+    assert keys == 50
+
+
 def test_mixing_is_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
