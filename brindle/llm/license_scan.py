@@ -7,9 +7,12 @@ row): a passage that holds 75 % of a template's shingles gives a window of simil
 probability 0.52^32, under 1e-9.  Candidates are then checked exactly: the share of the template's shingles that lie in the
 window and half its length to either side must be 75 % or more.
 
-Windows that hold no shingle of any template cannot match and are not hashed.  Null, empty and blank texts have no licence.
-Templates shorter than five words are one shingle of their own length, which is looked for as such.  Of two alike templates
+Windows that hold no shingle of any template cannot match and are not hashed.  Templates shorter than five words are one shingle of their own length, which is looked for as such.  Of two alike templates
 the better match counts where they match the same passage; elsewhere in the document the other one stands.  The library is a fixed table, the same for every input.
+
+Defined cases.  Null, empty and blank texts have no licence: no names, 0 windows, a null ``best``; a null id is scanned like any other.  Ties: of alike
+templates that match a place equally well each one stands.  Repeated rows are scanned separately and alike.  Texts of any length are read whole, batches are cut by bytes.  An
+empty table gives no rows.  Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WordHash, as_bytes, mix, seeds, shingle_hashes
+from brindle.llm.common import WordHash, as_bytes, in_pieces, mix, seeds, shingle_hashes
 
 BANDS = 32
 CONTAINED = 75
@@ -62,13 +65,23 @@ TEXTS = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
 }
 
+#: What follows a text above in the whole licence.
+REST = {
+    "MIT": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 _WORD = re.compile(rb"[a-z0-9]+")
 
 
 def templates() -> list[tuple[str, str]]:
     """(licence, text) of every template."""
     out = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
-    return out + list(TEXTS.items())
+    whole = {k: f"{TEXTS[k]} {rest}" for k, rest in REST.items()}
+    whole["BSD-3-Clause"] = f"{TEXTS['BSD-2-Clause']} {TEXTS['BSD-3-Clause']} {REST['BSD-2-Clause']}"
+    return out + list(TEXTS.items()) + list(whole.items())
 
 
 class Library:
@@ -164,7 +177,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library.get(held) or _library.setdefault(held, Library(list(held)))
-        for batch in batches:
+        for batch in in_pieces(batches):
             n, names, count, best = [], [], [], []
             for text in batch.column(1).to_pylist():
                 windows, found = library.scan(as_bytes(text))

@@ -9,10 +9,10 @@ equally likely.
 Counts are merged by cell with ordinary aggregates.  A block of documents is joined with the contexts it has, as it is with the
 word counts for the base score; nothing that grows with the corpus is collected or broadcast.
 
-Null texts are empty: one token, the end.  Without training documents every probability is uniform and the base score is 0.
-A null id counts as the empty string for the split.  Repeated rows are scored alike, and train as often as they occur.
-
-``Positions`` and ``Model`` are the former model of bounded size (62 symbols, hashed contexts).  The query doesn't use them.
+Defined cases.  Null and empty texts are one token, the end.  Without training documents every probability is uniform and the base score is 0.
+A null id counts as the empty string for the split.  Repeated rows are scored alike, and train as often as they occur; counts are sums, so there are no
+ties.  Texts of any length are scored whole, in steps bounded by bytes.  An empty table gives no rows.  Columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +30,8 @@ from pyspark.sql import functions as F
 from brindle.llm import contexts
 from brindle.llm.common import as_bytes, cut
 
-SYMBOLS, OTHER, END = 64, 62, 63
-LONGEST, HASHED = 4, (4, 3)
-NODE_BITS = 17
-CELLS = SYMBOLS << NODE_BITS  # counts of a hashed order
-EXACT = 2 * CELLS  # where the counts of order 2 begin
-TOTAL = EXACT + SYMBOLS**3
-MIX = {4: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77)}
+#: The longest context.
+LONGEST = 4
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -47,94 +42,6 @@ def trains(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
 
 
-def symbol_of(histogram: np.ndarray) -> np.ndarray:
-    """byte -> symbol; the most frequent bytes get their own, ties by byte."""
-    out = np.full(256, OTHER, np.uint8)
-    for s, b in enumerate(sorted(range(256), key=lambda b: (-histogram[b], b))[:OTHER]):
-        out[b] = s
-    return out
-
-
-class Positions:
-    """Every symbol of some texts, their ends included, with the nodes of its contexts."""
-
-    def __init__(self, texts: list[bytes], symbol: np.ndarray):
-        pad = LONGEST  # so many ends stand before each text, and one after it is a symbol of it
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        raw = np.frombuffer(bytes(pad) + bytes(pad + 1).join(texts) + b"\0", np.uint8)
-        stop = pad + np.cumsum(sizes + pad + 1) - pad - 1
-        between = (stop[:, None] + np.arange(pad + 1)).ravel()
-        between = between[between < len(raw)]
-        s = symbol[raw].astype(np.uint32)
-        s[:pad] = s[between] = END
-        keep = np.ones(len(s), bool)
-        keep[:pad] = keep[between] = False
-        keep[stop] = True
-        context, self.context = np.zeros(len(s), np.uint32), {}
-        for k in range(1, LONGEST + 1):
-            context[k:] |= s[:-k] << np.uint32(6 * (k - 1))
-            own = context[keep]
-            if k in MIX:
-                with np.errstate(over="ignore"):
-                    own = (own * MIX[k]) >> np.uint32(32 - NODE_BITS)
-            self.context[k] = own
-        self.symbol, self.raw = s[keep], raw[keep]
-        self.begin = np.cumsum(sizes + 1) - sizes - 1
-
-    def cells(self) -> list[tuple[int, np.ndarray]]:
-        """Where each order's counts begin, and the count of every position among them."""
-        return [(i * CELLS, self.context[k] * np.uint32(SYMBOLS) + self.symbol) for i, k in enumerate(HASHED)] + [(EXACT, self.context[2] * np.uint32(SYMBOLS) + self.symbol)]
-
-
-class Model:
-    def __init__(self, counts: np.ndarray, histogram: np.ndarray):
-        self.symbol = symbol_of(histogram)
-        self.tables = [(k, counts[i * CELLS : (i + 1) * CELLS].reshape(-1, SYMBOLS)) for i, k in enumerate(HASHED)]
-        two = counts[EXACT:].reshape(SYMBOLS, SYMBOLS, SYMBOLS)  # the symbol before the last is the first axis
-        self.tables += [(2, two.reshape(-1, SYMBOLS)), (1, two.sum(axis=0)), (0, two.sum(axis=(0, 1))[None])]
-        top = self.tables[0][1]
-        self.seen = (top > 0).sum(axis=1).astype(np.float32)
-        self.all = top.sum(axis=1)
-        other = np.flatnonzero(self.symbol == OTHER)
-        self.rare = np.zeros(256)
-        self.rare[other] = np.log10((histogram[other] + 1) / (histogram[other].sum() + len(other)))
-
-    def log10(self, symbol: np.ndarray, context: dict[int, np.ndarray]) -> np.ndarray:
-        """log10 probability of each symbol after its contexts."""
-        out = np.zeros(len(symbol))
-        _, top = self.tables[0]
-        node = context[LONGEST]
-        c, total, seen = top.ravel()[node * np.uint32(SYMBOLS) + symbol], self.all[node], self.seen[node]
-        hit = c > 0
-        out[hit] = np.log10((c[hit] - 0.5) / total[hit])
-        todo = np.flatnonzero(~hit)
-        escaped = seen[todo] > 0
-        out[todo[escaped]] = np.log10(0.5 * seen[todo[escaped]] / total[todo[escaped]])
-        out_of = top[node[todo]] > 0
-        for order, table in self.tables[1:]:
-            if not len(todo):
-                return out
-            row = table[context[order][todo]] if order else np.broadcast_to(table[0], (len(todo), SYMBOLS))
-            row = np.where(out_of, 0, row)
-            n, q = row.sum(axis=1, dtype=np.float64), (row > 0).sum(axis=1)
-            c = row[np.arange(len(todo)), symbol[todo]]
-            hit, escaped = c > 0, (c == 0) & (q > 0)
-            out[todo[hit]] += np.log10((c[hit] - 0.5) / n[hit])
-            out[todo[escaped]] += np.log10(0.5 * q[escaped] / n[escaped])
-            todo, out_of = todo[~hit], (out_of | (row > 0))[~hit]
-        out[todo] -= np.log10(SYMBOLS - out_of.sum(axis=1))
-        return out
-
-    def scores(self, texts: list[bytes], step: int = 200_000) -> list[float]:
-        """log10 probability of each text and its end."""
-        if not texts:
-            return []
-        p = Positions([t.lower() for t in texts], self.symbol)
-        each = np.concatenate([self.log10(p.symbol[a : a + step], {k: v[a : a + step] for k, v in p.context.items()}) for a in range(0, len(p.symbol), step)])
-        each += np.where(p.symbol == END, 0.0, self.rare[p.raw])
-        return np.add.reduceat(each, p.begin).tolist()
-
-
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 

@@ -9,9 +9,11 @@ holds rejects a document, and a document that no rule covers is kept.
 
 Everything that runs over documents is a built-in function: no UDF, pandas, Arrow or RDD code.
 
-Null and empty texts have no words: all counts 0, base_failed.  Null labels and labels of unknown documents are ignored; several
-labels of one document count as one (rejected if any says so).  Without labels the list is empty and the base rules decide.
-Repeated rows are judged separately and alike.  Columns named like a statistic are not overwritten: statistics carry a prefix.
+Defined cases.  Null and empty texts have no words: all counts 0, base_failed; a null id is judged like any other.  Null labels and labels of
+unknown documents are ignored; several labels of one document count as one (rejected if any says so).  Without labels the list is empty and the base rules
+decide.  Ties: of conditions that gain alike the first in the order of FEATURES, at-least before less-than, lowest threshold; of labelled rows with
+equal hashes the smaller id.  Repeated rows are judged separately and alike.  Texts of any length are judged whole; a row's arrays are in proportion to its
+text.  Empty tables give no rows.  Columns named like a statistic are not overwritten: statistics carry a prefix.
 """
 
 from __future__ import annotations

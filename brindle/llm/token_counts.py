@@ -5,7 +5,9 @@ and merging its bytes gives one id.  A pre-token among them counts 1 without any
 each distinct pre-token, by the library itself.  The vocabulary's special strings are cut out of a text first and count 1
 each, as is the library's default.
 
-Nulls and empty texts have 0 tokens.  Repeated rows are counted separately.  No truncation.
+Defined cases.  Null and empty texts have 0 tokens and 0 bytes; a null id is counted like any other.  Repeated rows are counted separately and
+alike; nothing is compared, so there are no ties.  Texts of any length are counted whole, batches are cut by bytes.  An empty table gives no rows.  Columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import as_bytes, in_pieces
+
 #: Fixed value: the pattern by which this family of vocabularies splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -35,6 +39,7 @@ class TokenCounts(dict):
     def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         import regex
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
@@ -83,10 +88,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _known.get(tokenizer_path) or _known.setdefault(tokenizer_path, TokenCounts(tokenizer_path))
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = pa.array([counts.count(t) for t in texts], pa.int64())
-            size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+            size = pa.array([len(as_bytes(t)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

@@ -6,8 +6,10 @@ with the random-access indicator set.  ``demux`` reads any such stream: it parse
 is checked), checks continuity counters, reassembles the elementary packets of every stream and returns their timestamps,
 random-access points and bytes.
 
-Null or empty payloads are stored as 64 zero bytes by ``store``.  Bytes that aren't a stream give a defined error (``ValueError``)
-from ``demux`` and null columns from ``parse_column``.  Nothing in a stream depends on the row, so equal texts give equal values.
+Defined cases.  Null or empty payloads are stored as 64 zero bytes by ``store``; a null id is stored like any other.  Bytes that aren't a stream give a
+defined error (``ValueError``) from ``demux`` and null columns from ``parse_column``.  Nothing in a stream depends on the row, so equal texts give equal
+values, and repeated rows a row each; nothing is compared, so there are no ties.  Texts may be of any length: a batch is cut by bytes, a media value holds one whole text.  Empty
+tables give no rows.  ``store`` ignores columns other than doc_id and text; ``parse_column`` carries every column but one named ``stream``, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import as_bytes, in_pieces
+
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID = 188, 0x47, 0, 0x1000, 0x0100
 #: 16-bit PES_packet_length leaves 65,535 bytes after it, of which 8 are header here; whole 64-byte units fit.
 PES_BYTES = 65_472
+#: Bytes of texts or streams that are worked on at once: a media column is as large as its texts.
+PIECE = 1 << 22
 CLOCK = 3_600  # 90 kHz ticks from one elementary packet to the next
 
 
@@ -222,11 +228,9 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every text as a transport stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounded memory: a media column is as large as its texts
-                part = batch.slice(at, 512)
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([mux(pad(b)) for b in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for part in in_pieces(batches, PIECE):
+            raw = [as_bytes(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([mux(pad(b)) for b in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -245,11 +249,9 @@ def parse_column(df: DataFrame, media: str = "media") -> DataFrame:
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = pa.array([one(x) for x in part.column(part.schema.get_field_index(media)).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "stream"])
+        for part in in_pieces(batches, PIECE):
+            made = pa.array([one(x) for x in part.column(part.schema.get_field_index(media)).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "stream"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "stream")
     return df.drop("stream").mapInArrow(run, f"{fields}, {PARSED}")
@@ -259,7 +261,7 @@ def digests(stored: DataFrame) -> DataFrame:
     """Read the stored streams back and digest them: a row for each of (doc_id, n_bytes, media)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, PIECE):
             doc, size, media = (c.to_pylist() for c in batch.columns)
             cols = [[], [], [], [], [], []]
             for data in media:
