@@ -1,8 +1,12 @@
-"""Exact contexts of bytes: counting, the trie as a table of rows, and prediction by partial matching from the rows that some texts need.
+"""Exact contexts of bytes: counting, the trie as packed rows of a table, and prediction by partial matching from the part that some texts need.
 
-A cell is a context of ``order`` symbols and the symbol after it, nine bits each, the newest lowest, below a bit that tells the
-order; so orders up to 5 fit 64 bits.  Symbols are the 256 bytes and the end of a text, which also stands before it.  Nothing is
-hashed or left out: contexts are as many as the corpus has.
+A cell is a context of ``order`` symbols and the symbol after it, a byte each, the newest lowest, below a bit that tells the order; so
+orders up to 6 fit 64 bits.  Symbols are the bytes; 0xFF, which UTF-8 never has, is the end of a text, which also stands before it.  Nothing is
+hashed away or left out: contexts are as many as the corpus has.
+
+Blocks of texts count their cells and deal them to shards by a hash of the context, as packed arrays.  Shards follow the square root of the number of blocks:
+what a block gives to a shard, and what a shard holds, both grow slowly.  Blocks are merged ``FAN`` at a time, so no task reads one array from every
+block, and a shard is looked up by ``FAN`` blocks at a time.
 
 Every symbol seen after a context has been seen after its suffixes, as the same positions are counted.  So what a context excludes
 from its suffix is a sum over its own symbols, and a probability needs only a few sums per context and no list per position.
@@ -10,6 +14,7 @@ from its suffix is a sum over its own symbols, and a probability needs only a fe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import as_bytes
+from brindle.llm.common import U, mix
 
-SYMBOLS, END, BITS = 257, 256, 9
-LOW = (1 << BITS) - 1
-#: Distinct cells that a counting task holds before it hands them on, and bytes of text looked at at once.
-HELD, STEP = 2_000_000, 1 << 22
+SYMBOLS, END, BITS = 256, 0xFF, 8
+#: Bytes of text looked at at once, and blocks that a task merges or answers.
+STEP, FAN = 1 << 22, 1024
 
 
 def steps(texts: list[bytes], most: int = STEP) -> Iterator[list[bytes]]:
@@ -41,82 +45,139 @@ def steps(texts: list[bytes], most: int = STEP) -> Iterator[list[bytes]]:
 def cells(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The cell of every symbol of some texts, their ends included, and where each text begins among them."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    s = np.frombuffer(bytes(order) + bytes(order + 1).join(texts) + b"\0", np.uint8).astype(np.int64)
+    pad = bytes([END]) * order
+    s = np.frombuffer(pad + (pad + bytes([END])).join(texts) + bytes([END]), np.uint8).astype(np.int64)
     stop = order + np.cumsum(sizes + order + 1) - order - 1
-    between = (stop[:, None] + np.arange(order + 1)).ravel()
-    between = between[between < len(s)]
-    s[:order] = s[between] = END
+    between = (stop[:, None] + np.arange(1, order + 1)).ravel()
     keep = np.ones(len(s), bool)
-    keep[:order] = keep[between] = False
-    keep[stop] = True
+    keep[:order] = keep[between[between < len(s)]] = False
     out = s | (1 << (BITS * (order + 1)))
     for k in range(1, order + 1):
         out[k:] |= s[:-k] << (BITS * k)
     return out[keep], np.cumsum(sizes + 1) - sizes - 1
 
 
-def shortened(x, order: int):
-    """Contexts (numpy or column) of ``order`` or more symbols cut to the newest ``order``."""
+def shortened(x: np.ndarray, order: int) -> np.ndarray:
+    """Contexts of ``order`` or more symbols cut to the newest ``order``."""
     mark = 1 << (BITS * order)
-    return (x & (mark - 1)) | mark if isinstance(x, np.ndarray) else x.bitwiseAND(F.lit(mark - 1)).bitwiseOR(F.lit(mark))
+    return (x & (mark - 1)) | mark
+
+
+def summed(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order and their counts' sums."""
+    if not len(cell):
+        return cell, n
+    by = np.argsort(cell, kind="stable")  # mostly runs that are in order already
+    cell, n = cell[by], n[by]
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    return cell[begin], np.add.reduceat(n, begin)
+
+
+def counted(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of the longest order, and how often each one occurs."""
+    held = [pc.value_counts(pa.array(cells(t, order)[0])) for t in steps(texts)]
+    none = np.empty(0, np.int64)
+    return summed(np.concatenate([none, *(x.field(0) for x in held)]), np.concatenate([none, *(x.field(1) for x in held)]))
+
+
+def every_order(cell: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of all orders, in order, from those of the longest."""
+    out = [(cell, n)]
+    for k in range(order, 0, -1):
+        out.append(summed(shortened(out[-1][0], k), out[-1][1]))
+    return np.concatenate([c for c, _ in reversed(out)]), np.concatenate([m for _, m in reversed(out)])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, which are small."""
+    return np.diff(x, prepend=0).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.int64))
+
+
+def shards_for(blocks: int, least: int) -> int:
+    return max(least, 16 * math.isqrt(blocks))
+
+
+def dealt(cell: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """shard, cells, counts: the cells of all orders by their contexts' shard."""
+    shard = (mix((cell >> BITS).astype(np.uint64)) % U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+    by = np.argsort(shard, kind="stable")
+    shard, cell, n = shard[by], cell[by], n[by]
+    begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
+        yield int(shard[a]), packed(cell[a:b]), n[a:b].tobytes()
+
+
+def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *map(unpacked, table.column("cells").to_pylist())]), np.concatenate([none, *(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())])
 
 
-def needed(texts: list[bytes], order: int) -> np.ndarray:
-    """The distinct contexts of all orders that the texts have."""
-    longest = [pc.unique(pa.array(cells(t, order)[0] >> BITS)).to_numpy() for t in steps(texts)]
-    own = np.unique(np.concatenate(longest)) if longest else np.empty(0, np.int64)
-    return np.concatenate([np.unique(shortened(own, k)) for k in range(order + 1)])
+def trie(parts: DataFrame, blocks: int) -> DataFrame:
+    """shard, cells, counts: a row per shard, from (block, shard, cells, counts)."""
 
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        cell, n = summed(*_joined(table))
+        seen = n > 0
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([packed(cell[seen])], pa.binary()), pa.array([n[seen].tobytes()], pa.binary())], names=["shard", "part", "cells", "counts"])
 
-def trie(docs: DataFrame, order: int) -> DataFrame:
-    """context, cells: a row per context of orders 0 to ``order``; of each symbol seen after it, its count above its nine bits."""
+    now, left = parts.withColumn("part", F.col("block")), blocks
+    while True:
+        left = -(-left // FAN)
+        now = now.select("shard", F.floor(F.col("part") / FAN).cast("int").alias("part"), "cells", "counts")
+        now = now.groupBy("shard", "part").applyInArrow(merge, "shard int, part int, cells binary, counts binary")
+        if left <= 1:
+            return now.drop("part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
 
-        def merged() -> pa.Table:
-            return pa.concat_tables(held).group_by("cell").aggregate([("n", "sum")]).rename_columns(["cell", "n"])
+def looked_up(parts: DataFrame, grown: DataFrame, blocks: int) -> DataFrame:
+    """block, cells, counts: of the contexts that each row of ``parts`` has, all cells of the trie."""
 
-        rows = 0
-        for batch in batches:
-            for texts in steps([as_bytes(t).lower() for t in batch.column(0).to_pylist()]):
-                found = pc.value_counts(pa.array(cells(texts, order)[0]))
-                held.append(pa.table({"cell": found.field(0), "n": found.field(1)}))
-                rows += len(found)
-                if rows > HELD:
-                    held = [merged()]
-                    rows = len(held[0])
-                    if rows > HELD // 2:
-                        yield from held[0].combine_chunks().to_batches()
-                        held, rows = [], 0
-        if held:
-            yield from merged().combine_chunks().to_batches()
+    def answer(key: tuple, asked: pa.Table, shard: pa.Table) -> pa.Table:
+        cell, n = _joined(shard)
+        own = cell >> BITS
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+        context, size = own[begin], np.diff(np.append(begin, len(own)))
+        rows: list[list] = [[], [], []]
+        for block, blob in zip(asked.column("block").to_pylist(), asked.column("cells").to_pylist()):
+            want = unpacked(blob) >> BITS
+            want = want[np.r_[True, want[1:] != want[:-1]]]
+            at = np.searchsorted(context, want)
+            at = at[at < len(context)]
+            at = at[context[at] == want[: len(at)]]
+            times = size[at]
+            places = np.arange(times.sum()) + np.repeat(begin[at] - (np.cumsum(times) - times), times)
+            for c, v in zip(rows, (block, packed(cell[places]), n[places].tobytes())):
+                c.append(v)
+        return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["block", "cells", "counts"])
 
-    longest = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    every = longest.select(F.explode(F.array(*[shortened(F.col("cell"), k + 1) for k in range(order + 1)])).alias("cell"), "n")
-    counted = every.groupBy("cell").agg(F.sum("n").alias("n"))
-    packed = F.shiftleft("n", BITS).bitwiseOR(F.col("cell").bitwiseAND(F.lit(LOW)))
-    return counted.groupBy(F.shiftright("cell", BITS).alias("context")).agg(F.collect_list(packed).alias("cells"))
+    groups = -(-blocks // FAN)
+    asked = parts.select("block", "shard", F.floor(F.col("block") / FAN).cast("int").alias("part"), "cells")
+    told = grown.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1)))))
+    return asked.groupBy("shard", "part").cogroup(told.groupBy("shard", "part")).applyInArrow(answer, "block int, cells binary, counts binary")
 
 
 class Rows:
-    """Rows of the trie, with all suffixes of each context."""
+    """Cells of the trie with their counts: whole contexts, and all suffixes of each."""
 
-    def __init__(self, context: np.ndarray, sizes: np.ndarray, packed: np.ndarray, order: int):
+    def __init__(self, cell: np.ndarray, n: np.ndarray, order: int):
         self.order = order
-        cell = np.repeat(context, sizes) << BITS | packed & LOW
-        by = np.argsort(cell)
+        by = np.argsort(cell, kind="stable")
         # what isn't found is a last row without counts
-        self.cell, self.n = np.append(cell[by], -1), np.append((packed >> BITS)[by], 0).astype(np.float64)
+        self.cell, self.n = np.append(cell[by], -1), np.append(n[by], 0).astype(np.float64)
         own = self.cell[:-1] >> BITS
-        self.context, begin = np.unique(own, return_index=True)
-        self.context = np.append(self.context, -1)
+        first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.empty(0, bool)
+        begin = np.flatnonzero(first)
+        self.context = np.append(own[begin], -1)
+        self.row = np.append(np.cumsum(first) - 1, len(begin))  # of each cell, its context's
         self.seen = np.append(np.diff(np.append(begin, len(own))), 0)
-        suffix = np.full(len(own), -2)
+        below = np.zeros(len(own))
         for k in range(1, order + 1):
-            here = (own >> (BITS * k)) == 1
-            suffix[here] = shortened(self.cell[:-1][here], k)
-        below = self.n[self.find(self.cell, suffix)]
+            a, b = np.searchsorted(self.cell[:-1], [1 << (BITS * (k + 1)), 1 << (BITS * (k + 2))])
+            below[a:b] = self.n[self.find(self.cell, shortened(self.cell[a:b], k))]
         # totals, and what the context's symbols count after its suffix
         self.total, self.out = (np.append(np.add.reduceat(x, begin) if len(begin) else [], 0.0) for x in (self.n[:-1], below))
 
@@ -132,9 +193,11 @@ class Rows:
         above = np.full(len(cell), len(self.context) - 1)
         for order in range(self.order, -1, -1):
             own = shortened(cell[todo], order + 1)
-            row = self.find(self.context, own >> BITS)
+            at = self.find(self.cell, own)
+            n, row = self.n[at], self.row[at]
+            missed = np.flatnonzero(n == 0)
+            row[missed] = self.find(self.context, own[missed] >> BITS)
             total, q = self.total[row] - self.out[above], self.seen[row] - self.seen[above]
-            n = self.n[self.find(self.cell, own)]
             hit, escaped = n > 0, (n == 0) & (q > 0)
             out[todo[hit]] += np.log10((n[hit] - 0.5) / total[hit])
             out[todo[escaped]] += np.log10(0.5 * q[escaped] / total[escaped])
@@ -145,8 +208,12 @@ class Rows:
     def scores(self, texts: list[bytes]) -> list[float]:
         """log10 probability of each text and its end."""
         out: list[float] = []
-        for some in steps([t.lower() for t in texts]):
+        for some in steps(texts):
             cell, begin = cells(some, self.order)
             kinds = pa.array(cell).dictionary_encode()
-            out += np.add.reduceat(self.log10(kinds.dictionary.to_numpy())[kinds.indices.to_numpy()], begin).tolist()
+            values = kinds.dictionary.to_numpy()
+            by = np.argsort(values)  # looked up in order
+            each = np.empty(len(values))
+            each[by] = self.log10(values[by])
+            out += np.add.reduceat(each[kinds.indices.to_numpy()], begin).tolist()
         return out

@@ -1,13 +1,13 @@
 """Language-model scores: prediction by partial matching over bytes, pretrained on the corpus.
 
-Model.  Texts are bytes with A-Z lower-cased; the 256 bytes and the end of a text, which also stands before it, are the symbols.
-The trie has every context of orders 0 to 4 that the training documents have, exactly, as rows of a written table that grows with
+Model.  Texts are bytes with A-Z lower-cased; the bytes and the end of a text, which also stands before it, are the symbols.
+The trie has every context of orders 0 to 5 that the training documents have, exactly, in a written table that grows with
 the corpus (``contexts``).  At a context, escape is estimated by method D (half a count of each symbol seen goes to the escape);
 symbols that longer contexts have seen are excluded from the counts of shorter ones; below order 0 the symbols never seen are
 equally likely.
 
-Counts are merged by cell with ordinary aggregates.  A block of documents is joined with the contexts it has, as it is with the
-word counts for the base score; nothing that grows with the corpus is collected or broadcast.
+Documents are dealt to blocks.  One pass over a block's texts counts its words and cells, the training documents' and, with count 0, the others'; the sums over
+blocks are the word counts and the trie, and a block is joined with those of its words and contexts.  Nothing that grows with the corpus is collected or broadcast.
 
 Defined cases.  Null and empty texts are one token, the end.  Without training documents every probability is uniform and the base score is 0.
 A null id counts as the empty string for the split.  Repeated rows are scored alike, and train as often as they occur; counts are sums, so there are no
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from brindle.llm import contexts
 from brindle.llm.common import as_bytes, cut
 
 #: The longest context.
-LONGEST = 4
+LONGEST = 5
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -45,64 +44,59 @@ def trains(doc_id) -> F.Column:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 2000, order: int = LONGEST) -> DataFrame:
+READ = "block int, shard int, cells binary, counts binary, word binary, n long"
+
+
+def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 8000, order: int = LONGEST) -> DataFrame:
     """RESULT for every (doc_id, text): the base score over word counts and the model's log10 probability."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = max(1, -(-docs.count() // block_docs))
-    placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of the training documents; the empty word is the end."""
-        found: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return made
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(as_bytes(text).lower().split())
-                found[b""] += 1
-                if len(found) > 500_000:
-                    yield out()
-        yield out()
-
-    def words_of(key: tuple, table: pa.Table) -> pa.Table:
-        """The block's words, with context 0, and its contexts, with the empty word."""
-        known: set[bytes] = {b""}
-        texts = [as_bytes(t).lower() for t in table.column("text").to_pylist()]
-        for text in texts:
-            known.update(text.split())
-        own = contexts.needed(texts, order)
-        n = len(known) + len(own)
-        return pa.table({"block": pa.array(np.full(n, key[0].as_py(), np.int32)), "word": pa.array([*known, *[b""] * len(own)], pa.binary()), "context": pa.array(np.concatenate([np.zeros(len(known), np.int64), own]))})
-
-    trained = named.where(trains(F.col("doc_id"))).select("text").mapInArrow(count_words, "word binary, n long")
-    totals = cut(spark, trained.groupBy("word").agg(F.sum("n").alias("total")))
+    shards = contexts.shards_for(blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).withColumn("trains", trains(F.col("doc_id")))
+
+    def read(key: tuple, table: pa.Table) -> pa.Table:
+        """The block's words, of shard -1, the empty word being the end, and its cells, each with its count in the training documents."""
+        texts, is_trained = [as_bytes(t).lower() for t in table.column("text").to_pylist()], table.column("trains").to_pylist()
+        learnt, rest = ([t for t, x in zip(texts, is_trained) if x is kind] for kind in (True, False))
+        words: Counter[bytes] = Counter({b"": 0})
+        for t in rest:
+            words.update(dict.fromkeys(t.split(), 0))
+        for t in learnt:
+            words.update(t.split())
+        words[b""] += len(learnt)
+        cell, n = contexts.counted(learnt, order)
+        other, _ = contexts.counted(rest, order)
+        cell, n = contexts.summed(np.concatenate([cell, other]), np.concatenate([n, np.zeros(len(other), np.int64)]))
+        made = list(contexts.dealt(*contexts.every_order(cell, n, order), shards))
+        w, c = len(words), len(made)
+        block = pa.array(np.full(w + c, key[0].as_py(), np.int32))
+        shard = pa.array([-1] * w + [x[0] for x in made], pa.int32())
+        cells, counts = (pa.array([None] * w + [x[k] for x in made], pa.binary()) for k in (1, 2))
+        return pa.table([block, shard, cells, counts, pa.array([*words, *[None] * c], pa.binary()), pa.array([*words.values(), *[None] * c], pa.int64())], names=[x.split()[0] for x in READ.split(", ")])
+
+    seen = cut(spark, placed.groupBy("block").applyInArrow(read, READ))
+    words, parts = seen.where("shard < 0").select("block", "word", "n"), seen.where("shard >= 0").select("block", "shard", "cells", "counts")
+    totals = cut(spark, words.groupBy("word").agg(F.sum("n").alias("total")).where("total > 0"))
     tokens, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
     scale = np.log10(float(tokens + kinds + 1))
+    grown = cut(spark, contexts.trie(parts, blocks))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = pc.equal(right.column("context"), 0)
-        word, rest = right.filter(is_word), right.filter(pc.and_(pc.invert(is_word), right.column("cells").is_valid()))
-        seen = dict(zip(word.column("word").to_pylist(), word.column("total").to_pylist()))
-        packed = rest.column("cells")
-        m = contexts.Rows(rest.column("context").to_numpy(), pc.list_value_length(packed).to_numpy(), pc.list_flatten(packed).to_numpy(), order)
+        is_word = right.column("word").is_valid()
+        word, rest = right.filter(is_word), right.filter(pc.invert(is_word))
+        have = dict(zip(word.column("word").to_pylist(), word.column("total").to_pylist()))
+        m = contexts.Rows(*contexts._joined(rest), order)
         cols: list[list] = [[], [], [], [], [], [], []]
-        texts = [as_bytes(t) for t in left.column("text").to_pylist()]
+        texts = [as_bytes(t).lower() for t in left.column("text").to_pylist()]
         marks = m.scores(texts)
         for doc, raw, mark in zip(left.column("doc_id").to_pylist(), texts, marks):
-            have = np.array([*map(seen.__getitem__, raw.lower().split()), seen[b""]], np.float64)
-            for c, v in zip(cols, (doc, held_out(doc), len(have), int((have > 0).sum()), tokens, float(np.log10(have + 1).sum() - len(have) * scale), mark)):
-                c.append(v)
+            c = np.array([*map(have.__getitem__, raw.split()), have[b""]], np.float64)
+            for out, v in zip(cols, (doc, held_out(doc), len(c), int((c > 0).sum()), tokens, float(np.log10(c + 1).sum() - len(c) * scale), mark)):
+                out.append(v)
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    grown = cut(spark, contexts.trie(named.where(trains(F.col("doc_id"))), order))
-    table = totals.select("word", F.lit(0).cast("long").alias("context"), "total", F.lit(None).cast("array<long>").alias("cells"))
-    table = table.unionByName(grown.select(F.lit(b"").alias("word"), "context", F.lit(0).cast("long").alias("total"), "cells"))
-    # one exchange of the texts serves both what the blocks look up and the scoring
-    wanted = placed.groupBy("block").applyInArrow(words_of, "block int, word binary, context long")
-    joined = wanted.join(table, ["word", "context"], "left").select("block", "word", "context", F.coalesce("total", F.lit(0)).alias("total"), "cells")
-    return placed.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(score, RESULT)
+    none = F.lit(None)
+    known = words.join(totals, "word", "left").select("block", "word", F.coalesce("total", F.lit(0)).alias("total"), none.cast("binary").alias("cells"), none.cast("binary").alias("counts"))
+    found = contexts.looked_up(parts, grown, blocks).select("block", none.cast("binary").alias("word"), none.cast("long").alias("total"), "cells", "counts")
+    return placed.groupBy("block").cogroup(known.unionByName(found).groupBy("block")).applyInArrow(score, RESULT)

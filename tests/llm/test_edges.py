@@ -132,7 +132,7 @@ def test_without_training_documents_scores_are_uniform(spark):
     rows = ppm.scores(spark, spark.createDataFrame([(i, "ab") for i in held], "doc_id long, text string")).collect()
     assert len(rows) == len(held)
     for r in rows:
-        assert r["train_tokens"] == r["n_known"] == 0 and r["base_score"] == 0 and r["score"] == pytest.approx(-3 * np.log10(257))
+        assert r["train_tokens"] == r["n_known"] == 0 and r["base_score"] == 0 and r["score"] == pytest.approx(-3 * np.log10(256))
 
 
 # -- the learned half of the verdict, by hand
