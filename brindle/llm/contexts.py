@@ -27,7 +27,7 @@ from brindle.llm.common import U, mix
 
 SYMBOLS, END, BITS = 256, 0xFF, 8
 #: Bytes of text looked at at once, and blocks that a task merges or answers.
-STEP, FAN = 1 << 22, 1024
+STEP, FAN = 1 << 21, 1024
 
 
 def steps(texts: list[bytes], most: int = STEP) -> Iterator[list[bytes]]:

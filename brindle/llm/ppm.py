@@ -47,7 +47,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 READ = "block int, shard int, cells binary, counts binary, word binary, n long"
 
 
-def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 8000, order: int = LONGEST) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 3000, order: int = LONGEST) -> DataFrame:
     """RESULT for every (doc_id, text): the base score over word counts and the model's log10 probability."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = max(1, -(-docs.count() // block_docs))
