@@ -1,10 +1,10 @@
-"""Exact contexts of bytes: counting, the trie as packed rows of a table, and prediction by partial matching from the part that some texts need.
+"""Exact contexts of bytes, and words: counting, the trie as packed rows of a table, and prediction by partial matching from the part that some texts need.
 
 A cell is a context of ``order`` symbols and the symbol after it, a byte each, the newest lowest, below a bit that tells the order; so
 orders up to 6 fit 64 bits.  Symbols are the bytes; 0xFF, which UTF-8 never has, is the end of a text, which also stands before it.  Nothing is
 hashed away or left out: contexts are as many as the corpus has.
 
-Blocks of texts count their cells and deal them to shards by a hash of the context, as packed arrays.  Shards follow the square root of the number of blocks:
+Blocks of texts count their cells and words and deal them to shards by a hash of the context or word, as packed arrays.  Shards follow the square root of the number of blocks:
 what a block gives to a shard, and what a shard holds, both grow slowly.  Blocks are merged ``FAN`` at a time, so no task reads one array from every
 block, and a shard is looked up by ``FAN`` blocks at a time.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -97,67 +98,115 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.int64))
 
 
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts in four bytes each, or eight if some are large."""
+    return n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64).tobytes()
+
+
+def unpacked_counts(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32 if len(blob) == 4 * size else np.int64).astype(np.int64)
+
+
+def words_of(blob: bytes, counts: bytes) -> list[bytes]:
+    """Words that were joined by spaces; the empty word may be one."""
+    return blob.split(b" ") if counts else []
+
+
 def shards_for(blocks: int, least: int) -> int:
     return max(least, 16 * math.isqrt(blocks))
 
 
-def dealt(cell: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """shard, cells, counts: the cells of all orders by their contexts' shard."""
-    shard = (mix((cell >> BITS).astype(np.uint64)) % U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
-    by = np.argsort(shard, kind="stable")
-    shard, cell, n = shard[by], cell[by], n[by]
-    begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
-    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
-        yield int(shard[a]), packed(cell[a:b]), n[a:b].tobytes()
+def _deal(shard: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
+    """The order by shard, and where each shard begins in it."""
+    by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    return by, np.searchsorted(shard[by], np.arange(shards + 1)).tolist()
 
 
-def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def dealt(cell: np.ndarray, n: np.ndarray, words: dict[bytes, int], shards: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """shard, cells, counts, words, totals: the cells by their contexts' shard, the words by their own."""
+    by, cuts = _deal((mix((cell >> BITS).astype(np.uint64)) % U(shards)).astype(np.int64), shards)
+    cell, n = cell[by], n[by]
+    names = sorted(words)  # neighbours are alike, which compresses
+    order, marks = _deal(np.fromiter(map(crc32, names), np.int64, len(names)) % shards, shards)
+    names = [names[i] for i in order.tolist()]
+    totals = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+    for s in range(shards):
+        a, b, i, j = cuts[s], cuts[s + 1], marks[s], marks[s + 1]
+        if b > a or j > i:
+            yield s, packed(cell[a:b]), packed_counts(n[a:b]), b" ".join(names[i:j]), packed_counts(totals[i:j])
+
+
+PART = "cells binary, counts binary, words binary, totals binary"
+
+
+def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The cells and counts of all rows."""
+    cell = [unpacked(x) for x in table.column("cells").to_pylist()]
+    n = [unpacked_counts(x, len(c)) for x, c in zip(table.column("counts").to_pylist(), cell)]
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *map(unpacked, table.column("cells").to_pylist())]), np.concatenate([none, *(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())])
+    return np.concatenate([none, *cell]), np.concatenate([none, *n])
+
+
+def word_totals(table: pa.Table) -> dict[bytes, int]:
+    """The words of all rows and the sums of their totals."""
+    out: dict[bytes, int] = {}
+    get = out.get
+    for blob, totals in zip(table.column("words").to_pylist(), table.column("totals").to_pylist()):
+        names = words_of(blob, totals)
+        for w, n in zip(names, unpacked_counts(totals, len(names)).tolist()):
+            out[w] = get(w, 0) + n
+    return out
 
 
 def trie(parts: DataFrame, blocks: int) -> DataFrame:
-    """shard, cells, counts: a row per shard, from (block, shard, cells, counts)."""
+    """shard, PART, tokens, kinds: a row per shard, from (block, shard, PART); words' tokens and kinds are those that have a count."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        cell, n = summed(*_joined(table))
+        cell, n = summed(*joined(table))
         seen = n > 0
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([packed(cell[seen])], pa.binary()), pa.array([n[seen].tobytes()], pa.binary())], names=["shard", "part", "cells", "counts"])
+        words = {w: n for w, n in sorted(word_totals(table).items()) if n}
+        totals = np.fromiter(words.values(), np.int64, len(words))
+        row = (key[0].as_py(), key[1].as_py(), packed(cell[seen]), packed_counts(n[seen]), b" ".join(words), packed_counts(totals), int(totals.sum()), len(words))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=["shard", "part", "cells", "counts", "words", "totals", "tokens", "kinds"])
 
     now, left = parts.withColumn("part", F.col("block")), blocks
     while True:
         left = -(-left // FAN)
-        now = now.select("shard", F.floor(F.col("part") / FAN).cast("int").alias("part"), "cells", "counts")
-        now = now.groupBy("shard", "part").applyInArrow(merge, "shard int, part int, cells binary, counts binary")
+        now = now.select("shard", F.floor(F.col("part") / FAN).cast("int").alias("part"), "cells", "counts", "words", "totals")
+        now = now.groupBy("shard", "part").applyInArrow(merge, f"shard int, part int, {PART}, tokens long, kinds long")
         if left <= 1:
             return now.drop("part")
 
 
 def looked_up(parts: DataFrame, grown: DataFrame, blocks: int) -> DataFrame:
-    """block, cells, counts: of the contexts that each row of ``parts`` has, all cells of the trie."""
+    """block, PART: of the contexts that each row of ``parts`` has, all cells of the trie, and of its words the totals."""
 
     def answer(key: tuple, asked: pa.Table, shard: pa.Table) -> pa.Table:
-        cell, n = _joined(shard)
+        cell, n = joined(shard)
+        total = word_totals(shard)
         own = cell >> BITS
         begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
         context, size = own[begin], np.diff(np.append(begin, len(own)))
-        rows: list[list] = [[], [], []]
-        for block, blob in zip(asked.column("block").to_pylist(), asked.column("cells").to_pylist()):
+        rows: list[list] = [[], [], [], [], []]
+        for block, blob, names, marks in zip(*(asked.column(c).to_pylist() for c in ("block", "cells", "words", "totals"))):
             want = unpacked(blob) >> BITS
-            want = want[np.r_[True, want[1:] != want[:-1]]]
+            want = want[np.r_[True, want[1:] != want[:-1]]] if len(want) else want
             at = np.searchsorted(context, want)
             at = at[at < len(context)]
             at = at[context[at] == want[: len(at)]]
             times = size[at]
             places = np.arange(times.sum()) + np.repeat(begin[at] - (np.cumsum(times) - times), times)
-            for c, v in zip(rows, (block, packed(cell[places]), n[places].tobytes())):
+            have = words_of(names, marks)
+            totals = np.fromiter((total.get(w, 0) for w in have), np.int64, len(have))
+            for c, v in zip(rows, (block, packed(cell[places]), packed_counts(n[places]), names, packed_counts(totals))):
                 c.append(v)
-        return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["block", "cells", "counts"])
+        return pa.table([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["block", "cells", "counts", "words", "totals"])
 
     groups = -(-blocks // FAN)
-    asked = parts.select("block", "shard", F.floor(F.col("block") / FAN).cast("int").alias("part"), "cells")
-    told = grown.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1)))))
-    return asked.groupBy("shard", "part").cogroup(told.groupBy("shard", "part")).applyInArrow(answer, "block int, cells binary, counts binary")
+    asked = parts.select("block", "shard", F.floor(F.col("block") / FAN).cast("int").alias("part"), "cells", "words", "totals")
+    told = grown.select("shard", "cells", "counts", "words", "totals").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1)))))
+    return asked.groupBy("shard", "part").cogroup(told.groupBy("shard", "part")).applyInArrow(answer, f"block int, {PART}")
 
 
 class Rows:

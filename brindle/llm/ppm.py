@@ -22,7 +22,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +43,7 @@ def trains(doc_id) -> F.Column:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-READ = "block int, shard int, cells binary, counts binary, word binary, n long"
-
-
-def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 3000, order: int = LONGEST) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 8000, order: int = LONGEST) -> DataFrame:
     """RESULT for every (doc_id, text): the base score over word counts and the model's log10 probability."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = max(1, -(-docs.count() // block_docs))
@@ -55,7 +51,7 @@ def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 3000, order:
     placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).withColumn("trains", trains(F.col("doc_id")))
 
     def read(key: tuple, table: pa.Table) -> pa.Table:
-        """The block's words, of shard -1, the empty word being the end, and its cells, each with its count in the training documents."""
+        """The block's cells and words by shard, each with its count in the training documents; the empty word is the end."""
         texts, is_trained = [as_bytes(t).lower() for t in table.column("text").to_pylist()], table.column("trains").to_pylist()
         learnt, rest = ([t for t, x in zip(texts, is_trained) if x is kind] for kind in (True, False))
         words: Counter[bytes] = Counter({b"": 0})
@@ -67,36 +63,26 @@ def scores(spark: SparkSession, docs: DataFrame, block_docs: int = 3000, order:
         cell, n = contexts.counted(learnt, order)
         other, _ = contexts.counted(rest, order)
         cell, n = contexts.summed(np.concatenate([cell, other]), np.concatenate([n, np.zeros(len(other), np.int64)]))
-        made = list(contexts.dealt(*contexts.every_order(cell, n, order), shards))
-        w, c = len(words), len(made)
-        block = pa.array(np.full(w + c, key[0].as_py(), np.int32))
-        shard = pa.array([-1] * w + [x[0] for x in made], pa.int32())
-        cells, counts = (pa.array([None] * w + [x[k] for x in made], pa.binary()) for k in (1, 2))
-        return pa.table([block, shard, cells, counts, pa.array([*words, *[None] * c], pa.binary()), pa.array([*words.values(), *[None] * c], pa.int64())], names=[x.split()[0] for x in READ.split(", ")])
-
-    seen = cut(spark, placed.groupBy("block").applyInArrow(read, READ))
-    words, parts = seen.where("shard < 0").select("block", "word", "n"), seen.where("shard >= 0").select("block", "shard", "cells", "counts")
-    totals = cut(spark, words.groupBy("word").agg(F.sum("n").alias("total")).where("total > 0"))
-    tokens, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
-    scale = np.log10(float(tokens + kinds + 1))
+        rows = list(contexts.dealt(*contexts.every_order(cell, n, order), words, shards))
+        shard, *blobs = zip(*rows)
+        block = pa.array(np.full(len(rows), key[0].as_py(), np.int32))
+        return pa.table([block, pa.array(shard, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], names=["block", "shard", "cells", "counts", "words", "totals"])
+
+    parts = cut(spark, placed.groupBy("block").applyInArrow(read, f"block int, shard int, {contexts.PART}"))
     grown = cut(spark, contexts.trie(parts, blocks))
+    tokens, kinds = grown.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    scale = np.log10(float(tokens + kinds + 1))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = right.column("word").is_valid()
-        word, rest = right.filter(is_word), right.filter(pc.invert(is_word))
-        have = dict(zip(word.column("word").to_pylist(), word.column("total").to_pylist()))
-        m = contexts.Rows(*contexts._joined(rest), order)
+        have = contexts.word_totals(right)
+        m = contexts.Rows(*contexts.joined(right), order)
         cols: list[list] = [[], [], [], [], [], [], []]
         texts = [as_bytes(t).lower() for t in left.column("text").to_pylist()]
-        marks = m.scores(texts)
-        for doc, raw, mark in zip(left.column("doc_id").to_pylist(), texts, marks):
+        for doc, raw, mark in zip(left.column("doc_id").to_pylist(), texts, m.scores(texts)):
             c = np.array([*map(have.__getitem__, raw.split()), have[b""]], np.float64)
             for out, v in zip(cols, (doc, held_out(doc), len(c), int((c > 0).sum()), tokens, float(np.log10(c + 1).sum() - len(c) * scale), mark)):
                 out.append(v)
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    none = F.lit(None)
-    known = words.join(totals, "word", "left").select("block", "word", F.coalesce("total", F.lit(0)).alias("total"), none.cast("binary").alias("cells"), none.cast("binary").alias("counts"))
-    found = contexts.looked_up(parts, grown, blocks).select("block", none.cast("binary").alias("word"), none.cast("long").alias("total"), "cells", "counts")
-    return placed.groupBy("block").cogroup(known.unionByName(found).groupBy("block")).applyInArrow(score, RESULT)
+    return placed.groupBy("block").cogroup(contexts.looked_up(parts, grown, blocks).groupBy("block")).applyInArrow(score, RESULT)
