@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import U, mix
 
 SYMBOLS, END, BITS = 256, 0xFF, 8
-#: Bytes of text looked at at once, and blocks that a task merges or answers.
-STEP, FAN = 1 << 21, 1024
+#: Bytes of text looked at at once, cells held before they are summed, and blocks that a task merges or answers.
+STEP, HELD, FAN = 1 << 21, 1 << 20, 1024
 
 
 def steps(texts: list[bytes], most: int = STEP) -> Iterator[list[bytes]]:
@@ -76,9 +76,18 @@ def summed(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells of the longest order, and how often each one occurs."""
-    held = [pc.value_counts(pa.array(cells(t, order)[0])) for t in steps(texts)]
-    none = np.empty(0, np.int64)
-    return summed(np.concatenate([none, *(x.field(0) for x in held)]), np.concatenate([none, *(x.field(1) for x in held)]))
+    cell = n = np.empty(0, np.int64)
+    held: list[pa.StructArray] = []
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([cell, *(x.field(0) for x in held)]), np.concatenate([n, *(x.field(1) for x in held)]))
+
+    for some in steps(texts):
+        held.append(pc.value_counts(pa.array(cells(some, order)[0])))
+        if sum(map(len, held)) > HELD:
+            cell, n = fold()
+            held = []
+    return fold()
 
 
 def every_order(cell: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
