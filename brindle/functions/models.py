@@ -1,4 +1,4 @@
-"""Numpy kernels of fitted models: GARCH family, HAR, DCC, logit, VECM, long memory, variance breaks, minimum variance.
+"""Numpy kernels of fitted models: HAR, DCC, logit, VECM, long memory, variance breaks, minimum variance; variances are fitted by ``family``.
 
 They take one contiguous array or matrix and know nothing of Spark; ``brindle.operators.fitted`` deals out tickers and refits.
 """
@@ -10,11 +10,10 @@ from collections.abc import Callable
 
 import numpy as np
 
+from brindle.functions import family
+from brindle.functions.family import DISTS, MODELS  # noqa: F401  part of this surface
 from brindle.functions.stats import kish  # noqa: F401  part of this surface
-from brindle.refuse import Refused, one_of
-
-MODELS = ("ewma", "garch", "gjr", "egarch")
-DISTS = ("normal", "t")
+from brindle.refuse import Refused
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, *, step: float = 0.1, tol: float = 1e-8, most: int = 2000) -> tuple[np.ndarray, float]:
@@ -48,110 +47,17 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, *, step: float
     return simplex[k], float(value[k])
 
 
-def variance_path(model: str, p: np.ndarray, e: np.ndarray, start: float) -> np.ndarray:
-    """Conditional variance of each residual and of the next one."""
-    h = np.empty(len(e) + 1)
-    h[0] = start
-    x = e.tolist()
-    v = start
-    if model == "egarch":
-        w, a, g, b = p[:4]
-        centre, log_v = math.sqrt(2 / math.pi), math.log(start)
-        for i, u in enumerate(x):
-            z = u / math.exp(log_v / 2)
-            log_v = min(max(w + a * (abs(z) - centre) + g * z + b * log_v, -50.0), 50.0)
-            h[i + 1] = math.exp(log_v)
-    elif model == "ewma":
-        for i, u in enumerate(x):
-            v = 0.94 * v + 0.06 * u * u
-            h[i + 1] = v
-    else:
-        w, a, b = p[:3]
-        g = p[3] if model == "gjr" else 0.0
-        for i, u in enumerate(x):
-            v = w + (a + (g if u < 0 else 0.0)) * u * u + b * v
-            h[i + 1] = v
-    return h
-
-
-def loglik(e: np.ndarray, h: np.ndarray, nu: float | None) -> float:
-    if nu is None:
-        return float(-0.5 * (np.log(2 * np.pi * h) + e * e / h).sum())
-    c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-    return float((c - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2)))).sum())
+def fit_garch(y: np.ndarray, model: str = "garch", dist: str = "t", min_obs: int = 100) -> dict:
+    """Maximum likelihood of a constant mean and a model of ``family``, as a dictionary; ``_fit`` is the fit itself."""
+    f = family.fit(model, y, dist=dist, min_obs=min_obs)
+    h, k = f.variances(y), f.count()
+    out = {**f.parameters(), "loglik": f.loglik, "aic": 2 * k - 2 * f.loglik, "bic": k * math.log(f.nobs) - 2 * f.loglik, "persistence": f.persistence()}
+    return {**out, "sigma": np.sqrt(h[:-1]), "next_variance": float(h[-1]), "_fit": f}
 
 
-def fit_garch(y: np.ndarray, model: str = "garch", dist: str = "t", min_obs: int = 100) -> dict:
-    """Maximum likelihood of a constant mean and a (1,1) variance; parameters are searched in transformed, unbounded coordinates."""
-    one_of("model", model, MODELS)
-    one_of("dist", dist, DISTS)
-    y = np.asarray(y, float)
-    if len(y) < min_obs or np.isnan(y).any():
-        raise Refused(f"{len(y)} returns, some missing or under min_obs={min_obs}")
-    scale = y.std()
-    z = y / scale
-    sig = lambda t: 1 / (1 + math.exp(-min(max(t, -40), 40)))
-
-    def unpack(t: np.ndarray) -> tuple[float, np.ndarray, float | None]:
-        mu, rest = t[0], t[1:]
-        nu = 2.05 + math.exp(min(rest[-1], 5.0)) if dist == "t" else None
-        if model == "ewma":
-            return mu, np.empty(0), nu
-        if model == "egarch":
-            return mu, np.array([rest[0], rest[1], rest[2], math.tanh(rest[3])]), nu
-        total = sig(rest[1])
-        if model == "gjr":
-            share = np.exp(np.clip(np.array([rest[2], rest[3], 0.0]), -30, 30))
-            share /= share.sum()
-            a, g, b = total * share[0], 2 * total * share[1], total * share[2]
-            return mu, np.array([math.exp(min(rest[0], 5)), a, b, g]), nu
-        a = total * sig(rest[2])
-        return mu, np.array([math.exp(min(rest[0], 5)), a, total - a]), nu
-
-    def cost(t: np.ndarray) -> float:
-        mu, p, nu = unpack(t)
-        e = z - mu
-        h = variance_path(model, p, e, 1.0)[:-1]
-        out = -loglik(e, h, nu) if (h > 0).all() and np.isfinite(h).all() else 1e10
-        return out if math.isfinite(out) else 1e10
-
-    tail = [math.log(6.0)] if dist == "t" else []
-    start = {"ewma": [], "garch": [math.log(0.05), 3.0, -2.5], "gjr": [math.log(0.05), 3.0, -3.0, -3.0], "egarch": [0.0, 0.15, -0.02, 2.0]}[model]
-    t, best = nelder_mead(cost, np.array([z.mean(), *start, *tail]), step=0.3)
-    mu, p, nu = unpack(t)
-    h = variance_path(model, p, z - mu, 1.0)
-    names = {"ewma": [], "garch": ["omega", "alpha", "beta"], "gjr": ["omega", "alpha", "beta", "gamma"], "egarch": ["omega", "alpha", "gamma", "beta"]}[model]
-    params = dict(zip(names, p.tolist()))
-    if model in ("garch", "gjr"):
-        params["omega"] *= scale**2
-    persistence = {"ewma": 1.0, "egarch": params.get("beta")}.get(model, params.get("alpha", 0) + params.get("beta", 0) + params.get("gamma", 0) / 2)
-    k = len(t)
-    ll = -best - len(y) * math.log(scale)
-    return {"mu": mu * scale, **params, **({"nu": nu} if nu else {}), "loglik": ll, "aic": 2 * k - 2 * ll, "bic": k * math.log(len(y)) - 2 * ll, "persistence": persistence, "sigma": np.sqrt(h[:-1]) * scale, "next_variance": float(h[-1] * scale**2), "_p": p, "_mu": mu, "_nu": nu, "_scale": scale}
-
-
-def forecast_garch(f: dict, model: str, y: np.ndarray, horizon: int, paths: int = 1000, seed: int = 0) -> np.ndarray:
-    """Variance 1..horizon steps ahead of the last of ``y``: in closed form for the linear models, simulated for EGARCH."""
-    e = y / f["_scale"] - f["_mu"]
-    h = variance_path(model, f["_p"], e, 1.0)[-1]
-    if model == "ewma":
-        out = np.full(horizon, h)
-    elif model == "egarch":
-        rng = np.random.default_rng(seed)
-        w, a, g, b = f["_p"]
-        log_v, out = np.full(paths, math.log(h)), np.empty(horizon)
-        for k in range(horizon):
-            out[k] = np.exp(log_v).mean()
-            z = rng.standard_normal(paths) if f["_nu"] is None else rng.standard_t(f["_nu"], paths) * math.sqrt((f["_nu"] - 2) / f["_nu"])
-            log_v = w + a * (np.abs(z) - math.sqrt(2 / math.pi)) + g * z + b * log_v
-    else:
-        w, a, b = f["_p"][:3]
-        s = a + b + (f["_p"][3] / 2 if model == "gjr" else 0.0)
-        out = np.empty(horizon)
-        for k in range(horizon):
-            out[k] = h
-            h = w + s * h
-    return out * f["_scale"] ** 2
+def forecast_garch(f: dict, model: str, y: np.ndarray, horizon: int, seed: int = 0) -> np.ndarray:
+    """Variance 1..horizon steps ahead of the last of ``y``."""
+    return f["_fit"].ahead(y, np.array([len(y)]), horizon, seed=seed)[0]
 
 
 def ljung_box(x: np.ndarray, lags: int) -> float:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import columns as C
+from brindle.functions import family
 from brindle.functions import models as M
 from brindle.functions import variance_models as V
 from brindle.refuse import Refused, one_of, require
@@ -17,7 +18,7 @@ FIT = "ticker string, model string, dist string, nobs long, mu double, omega dou
 FORECAST = "ticker string, model string, ts timestamp, close_ts timestamp, h int, variance double, cum_variance double, fitted_through timestamp, refit boolean"
 
 
-def fit(rets: DataFrame, *, model: str = "garch", dist: str = "t", min_obs: int = 250, column: str = "return") -> DataFrame:
+def fit(rets: DataFrame, *, model: str = "garch", dist: str | None = None, min_obs: int = 250, column: str = "return") -> DataFrame:
     """One row per ticker: parameters and likelihood of a (1,1) model; missing returns are bridged."""
     one_of("model", model, M.MODELS)
     require(rets, ["ticker", "ts", column])
@@ -25,7 +26,7 @@ def fit(rets: DataFrame, *, model: str = "garch", dist: str = "t", min_obs: int
     def run(p: pd.DataFrame) -> pd.DataFrame:
         y = p.sort_values("ts")[column].dropna().to_numpy(float)
         f = M.fit_garch(y, model, dist, min_obs)
-        return pd.DataFrame([{"ticker": p["ticker"].iloc[0], "model": model, "dist": dist, "nobs": len(y), **{k: f.get(k) for k in ("mu", "omega", "alpha", "beta", "gamma", "nu", "loglik", "aic", "bic", "persistence")}}])
+        return pd.DataFrame([{"ticker": p["ticker"].iloc[0], "model": model, "dist": f["_fit"].dist, "nobs": len(y), **{k: f.get(k) for k in ("mu", "omega", "alpha", "beta", "gamma", "nu", "loglik", "aic", "bic", "persistence")}}])
 
     return rets.groupBy("ticker").applyInPandas(run, FIT)
 
@@ -36,36 +37,50 @@ def origins(rets: DataFrame, *, first: int, every: int, column: str = "return")
     return rows.withColumn("refit_k", F.when(F.col("k") >= first, first + F.floor((F.col("k") - first) / every) * every).cast("int"))
 
 
-def walk_forward(rets: DataFrame, *, model: str = "garch", dist: str = "t", first: int = 500, every: int = 20, horizons: tuple[int, ...] = (1,), window: int | None = None, column: str = "return") -> DataFrame:
-    """Variance forecasts made at each close from ``first`` returns on, parameters refitted every ``every``.
+def walk_forward(
+    rets: DataFrame, *, model: str = "garch", dist: str | None = None, first: int = 500, every: int = 20, horizons: tuple[int, ...] = (1,), window: int | None = None, column: str = "return", measure: str | None = None, batch: int = 16
+) -> DataFrame:
+    """Variance forecasts made at each close from ``first`` returns on, parameters refitted every ``every``, by any model of the family.
 
-    A group is one refit of one ticker: it holds the returns the fit may read (all up to it, or the last ``window``) and those it filters
-    up to the next refit.  A row goes to every refit after it, within ``window`` if there is one.
+    A group is ``batch`` refits of one ticker that follow each other: it holds the returns that their fits may read (all up to the last one, or the last
+    ``window`` of each) and those filtered up to the next refit.  So a return is sent once per batch after it, not once per refit.
+    ``measure``: the column of realized variance for rgarch; carr's ``column`` holds log ranges.
     """
     one_of("model", model, M.MODELS)
-    if first < 50 or every < 1:
-        raise Refused(f"first={first}, every={every}")
-    rows = origins(rets, first=first, every=every, column=column)
+    if first < 50 or every < 1 or batch < 1 or (window is not None and window < 50):
+        raise Refused(f"first={first}, every={every}, batch={batch}, window={window}")
+    if (model == "rgarch") != (measure is not None):
+        raise Refused("rgarch takes a measure, and no other model does")
+    rows = origins(rets if measure is None else rets.where(F.col(measure).isNotNull()), first=first, every=every, column=column)
+    span = every * batch
     last = rows.groupBy("ticker").agg(F.max("k").alias("_n"))
-    start = F.greatest(F.lit(first), F.lit(first) + F.ceil((F.col("k") - first - (every - 1)) / every) * every).cast("int")
-    stop = F.col("_n") if window is None else F.least(F.col("_n"), F.col("k") + window - 1 + every)
-    dealt = rows.join(last, "ticker").where(start <= stop).withColumn("fit_k", F.explode(F.sequence(start, stop.cast("int"), F.lit(every))))
+    # batch b makes the forecasts at returns first + b * span and on; it reads everything before, or from its first window on
+    start = F.greatest(F.lit(0), F.floor((F.col("k") - first) / span)).cast("int")
+    end = F.floor((F.col("_n") - first) / span).cast("int")
+    stop = end if window is None else F.least(end, F.floor((F.col("k") - first + window) / span).cast("int"))
+    dealt = rows.join(last, "ticker").where(F.col("_n") >= first).withColumn("_batch", F.explode(F.when(start <= stop, F.sequence(start, stop))))
     top = max(horizons)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("k")
-        at = int(p["fit_k"].iloc[0])
-        past = p[p["k"] <= at]
-        past = past if window is None else past.tail(window)
-        y = p[column].to_numpy(float)
-        f = M.fit_garch(past[column].to_numpy(float), model, dist, 50)
-        through, out = past["close_ts"].iloc[-1], []
-        for i in np.flatnonzero((p["k"] >= at) & (p["k"] < at + every)):
-            v = M.forecast_garch(f, model, y[: i + 1], top)
-            out += [{"ticker": p["ticker"].iloc[0], "model": model, "ts": p["ts"].iloc[i], "close_ts": p["close_ts"].iloc[i], "h": h, "variance": v[h - 1], "cum_variance": v[:h].sum(), "fitted_through": through, "refit": int(p["k"].iloc[i]) == at} for h in horizons]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in FORECAST.split(", ")])
-
-    return dealt.groupBy("ticker", "fit_k").applyInPandas(run, FORECAST)
+        p = p.sort_values("k").reset_index(drop=True)
+        k0, n = int(p["k"].iloc[0]), int(p["k"].iloc[-1])
+        y, x = p[column].to_numpy(float), None if measure is None else p[measure].to_numpy(float)
+        parts = []
+        begin = first + int(p["_batch"].iloc[0]) * span
+        for at in range(begin, min(begin + span, n + 1), every):
+            known = at - k0 + 1  # returns held that the fit may read
+            low = 0 if window is None else max(0, known - window)
+            cut = lambda v, stop: None if v is None else v[low:stop]  # noqa: B023, E731
+            f = family.fit(model, y[low:known], dist=dist, x=cut(x, known), min_obs=50)
+            here = np.arange(known, min(known + every, len(y) + 1))  # values known at each origin
+            v = f.ahead(cut(y, here[-1]), here - low, top, cut(x, here[-1]), seed=at)
+            total = np.cumsum(v, axis=1)
+            own = p.iloc[here - 1]
+            for h in horizons:
+                parts.append(pd.DataFrame({"ticker": own["ticker"], "model": model, "ts": own["ts"], "close_ts": own["close_ts"], "h": h, "variance": v[:, h - 1], "cum_variance": total[:, h - 1], "fitted_through": p["close_ts"].iloc[known - 1], "refit": here == known}))
+        return pd.concat(parts)[[x.split()[0] for x in FORECAST.split(", ")]]
+
+    return dealt.groupBy("ticker", "_batch").applyInPandas(run, FORECAST)
 
 
 def har(measures: DataFrame, *, first: int = 250, every: int = 20, horizons: tuple[int, ...] = (1,), lags: tuple[int, ...] = (1, 5, 22)) -> DataFrame:
@@ -187,15 +202,15 @@ def reliability(forecasts: DataFrame, bins: int = 10) -> DataFrame:
     return rows.groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
 
 
-def fit_variance(rets: DataFrame, *, model: str, column: str = "return", measure: str | None = None, min_obs: int = 200) -> DataFrame:
-    """ticker, name, value: parameters and log-likelihood of a model of ``variance_models``.  ``measure``: the column of realized variance for rgarch."""
-    one_of("model", model, tuple(V.SPECS))
+def fit_variance(rets: DataFrame, *, model: str, dist: str | None = None, column: str = "return", measure: str | None = None, min_obs: int = 200) -> DataFrame:
+    """ticker, name, value: parameters and log-likelihood of a model of the family.  ``measure``: the column of realized variance for rgarch."""
+    one_of("model", model, M.MODELS)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.dropna(subset=[column, *([measure] if measure else [])]).sort_values("ts")
-        f = V.fit(model, p[column].to_numpy(float), p[measure].to_numpy(float) if measure else None, min_obs=min_obs)
-        names = [*V.SPECS[model].names, "loglik"]
-        return pd.DataFrame({"ticker": p["ticker"].iloc[0], "name": names, "value": [f[n] for n in names]})
+        f = family.fit(model, p[column].to_numpy(float), dist=dist, x=p[measure].to_numpy(float) if measure else None, min_obs=min_obs)
+        found = {**f.parameters(), "loglik": f.loglik}
+        return pd.DataFrame({"ticker": p["ticker"].iloc[0], "name": list(found), "value": list(found.values())})
 
     return rets.groupBy("ticker").applyInPandas(run, "ticker string, name string, value double")
 
