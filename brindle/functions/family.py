@@ -596,8 +596,8 @@ def fit(model: str, y: np.ndarray, *, dist: str | None = None, x: np.ndarray | N
     mean = [float(z.mean())] if spec.mean else []
     with np.errstate(all="ignore"):
         starts = [np.array([*mean, *s, *shape_start], float) for s in spec.starts]
-        # where an evaluation is a loop, the likeliest start alone; else each one
-        chosen = [min(starts, key=cost)] if model in ("egarch", "betat") else starts
+        # every start where there are several valleys
+        chosen = starts if model in ("aparch", "figarch", "cgarch") else [min(starts, key=cost)]
         t, best = min((minimise(cost, t) for t in chosen), key=lambda found: found[1])
     mu, p, shape = unpack(t)
     shift = 0.0 if model == "carr" else len(y) * math.log(scale)

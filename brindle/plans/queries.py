@@ -212,11 +212,11 @@ def gaps_masked(spark, d):
     return R.mask_gaps(S.ticks(spark, d), _gaps(spark, d), "trades").select("event_id", "in_gap", "gap_cause")
 
 
-@query(f"""WITH {S.TICKS}, s AS (SELECT ticker, date_trunc('hour', ts) AS h, max(price / 1000) AS rate, 8 AS n FROM ticks WHERE hour(ts) % 8 = 0 AND ticker <> 'error' GROUP BY ALL),
+@query(f"""WITH {S.TICKS}, slots AS (SELECT ticker, price, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '2000-01-01') + INTERVAL 8 HOUR AS h FROM ticks), s AS (SELECT ticker, h, max(price / 1000) AS rate, 8 AS n FROM slots GROUP BY ALL),
   x AS (SELECT ticker, h, rate, unnest(generate_series(h - INTERVAL 7 HOUR, h, INTERVAL 1 HOUR)) AS t FROM s) SELECT 'v' AS venue, ticker, epoch_us(t) AS ts, round(coalesce(max(CASE WHEN t = h THEN rate END), 0), 6) + 0.0 AS rate FROM x GROUP BY ticker, t""")
 def funding_by_hour(spark, d):
-    t = S.ticks(spark, d).where("hour(ts) % 8 = 0 and ticker <> 'error'")
-    settled = t.groupBy("venue", "ticker", F.date_trunc("hour", "ts").alias("ts")).agg(F.max(F.col("price") / 1000).alias("rate")).withColumn("interval_hours", F.lit(8))
+    # every event counts towards the settlement that ends its eight hours
+    settled = S.ticks(spark, d).groupBy("venue", "ticker", C.plus(C.bucket(F.col("ts"), "8h"), "8h").alias("ts")).agg(F.max(F.col("price") / 1000).alias("rate")).withColumn("interval_hours", F.lit(8))
     return R.funding_hours(settled)
 
 
@@ -328,9 +328,32 @@ def indicator_ema(spark, d):
     return I.add(S.daily(spark, d), ema=I.ema(10)).where("ema is not null").select("ticker", "ts", "ema")
 
 
-@query()
+def _smoothed(name: str, x: str, n: int, seed_at: int, alpha: str) -> str:
+    """A seeded average's next value within the recursion below: q has the row, e the state before it."""
+    return f"CASE WHEN q.i = {seed_at} THEN q.{name}_seed WHEN q.i > {seed_at} THEN {alpha} * q.{x} + (1 - {alpha}) * e.{name} END AS {name}"
+
+
+#: Wilder's averages of 14 and 10 bars, exponential ones of 12 and 26, a signal of 9, Supertrend's bands and two channels, one row after another.
+_RECURSIVE = f"""{_STRETCH}, p AS (SELECT ticker, stretch, ts, open, high, low, close, row_number() OVER w AS i, lag(close) OVER w AS before FROM st WINDOW w AS (PARTITION BY ticker, stretch ORDER BY ts)),
+  d AS (SELECT *, greatest(close - before, 0.0::DOUBLE) AS up, greatest(before - close, 0.0::DOUBLE) AS dn, greatest(high - low, coalesce(abs(high - before), 0), coalesce(abs(low - before), 0)) AS tr, (high + low) / 2 AS mid FROM p),
+  q AS (SELECT *, avg(close) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS fast_seed, avg(close) OVER (w ROWS BETWEEN 25 PRECEDING AND CURRENT ROW) AS slow_seed, avg(up) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS u_seed, avg(dn) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS v_seed,
+    avg(tr) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS a_seed, avg(tr) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS b_seed,
+    max(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS hi20, min(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS lo20, max(close) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS hi50, min(close) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS lo50 FROM d WINDOW w AS (PARTITION BY ticker, stretch ORDER BY ts)),
+  e AS (SELECT ticker, stretch, ts, i, close, NULL::DOUBLE AS fast, NULL::DOUBLE AS slow, NULL::DOUBLE AS u, NULL::DOUBLE AS v, NULL::DOUBLE AS a, NULL::DOUBLE AS b, 0.0::DOUBLE AS total, NULL::DOUBLE AS signal, NULL::DOUBLE AS top, NULL::DOUBLE AS bottom, NULL::DOUBLE AS trend, NULL::DOUBLE AS on20, NULL::DOUBLE AS stop20, NULL::DOUBLE AS on50, NULL::DOUBLE AS stop50 FROM q WHERE i = 1
+    UNION ALL SELECT ticker, stretch, ts, i, close, fast, slow, u, v, a, b, total + coalesce(fast - slow, 0) AS total,
+      CASE WHEN i = 34 THEN (total + fast - slow) / 9 WHEN i > 34 THEN 0.2::DOUBLE * (fast - slow) + 0.8::DOUBLE * signal END AS signal, new_top, new_bottom,
+      CASE WHEN i = 10 THEN CASE WHEN close >= mid THEN 1 ELSE -1 END WHEN i > 10 THEN CASE WHEN trend < 0 AND close > new_top THEN 1 WHEN trend > 0 AND close < new_bottom THEN -1 ELSE trend END END AS trend,
+      CASE WHEN i >= 20 THEN CASE WHEN coalesce(on20, 0) = 0 THEN CASE WHEN close >= hi20 THEN 1 ELSE 0 END WHEN close < greatest(stop20, (hi20 + lo20) / 2) THEN 0 ELSE 1 END END, CASE WHEN coalesce(on20, 0) = 0 THEN (hi20 + lo20) / 2 ELSE greatest(stop20, (hi20 + lo20) / 2) END,
+      CASE WHEN i >= 50 THEN CASE WHEN coalesce(on50, 0) = 0 THEN CASE WHEN close >= hi50 THEN 1 ELSE 0 END WHEN close < greatest(stop50, (hi50 + lo50) / 2) THEN 0 ELSE 1 END END, CASE WHEN coalesce(on50, 0) = 0 THEN (hi50 + lo50) / 2 ELSE greatest(stop50, (hi50 + lo50) / 2) END
+    FROM (SELECT *, CASE WHEN i = 10 THEN mid + 3 * b WHEN i > 10 THEN CASE WHEN was <= top THEN least(mid + 3 * b, top) ELSE mid + 3 * b END END AS new_top, CASE WHEN i = 10 THEN mid - 3 * b WHEN i > 10 THEN CASE WHEN was >= bottom THEN greatest(mid - 3 * b, bottom) ELSE mid - 3 * b END END AS new_bottom
+      FROM (SELECT q.ticker, q.stretch, q.ts, q.i, q.close, q.mid, e.close AS was, q.hi20, q.lo20, q.hi50, q.lo50, {_smoothed('fast', 'close', 12, 12, '(2.0::DOUBLE / 13)')}, {_smoothed('slow', 'close', 26, 26, '(2.0::DOUBLE / 27)')}, {_smoothed('u', 'up', 14, 15, '(1.0::DOUBLE / 14)')}, {_smoothed('v', 'dn', 14, 15, '(1.0::DOUBLE / 14)')},
+        {_smoothed('a', 'tr', 14, 14, '(1.0::DOUBLE / 14)')}, {_smoothed('b', 'tr', 10, 10, '(1.0::DOUBLE / 10)')}, e.total, e.signal, e.top, e.bottom, e.trend, e.on20, e.stop20, e.on50, e.stop50 FROM e JOIN q ON q.ticker = e.ticker AND q.stretch = e.stretch AND q.i = e.i + 1) x) y)"""
+
+
+@query(f"""WITH RECURSIVE {_RECURSIVE} SELECT ticker, epoch_us(ts) AS ts, round(CASE WHEN v > 0 THEN 100 - 100 / (1 + u / v) WHEN u > 0 THEN 100 END, 6) + 0.0 AS rsi, round(fast - slow, 6) + 0.0 AS macd, round(signal, 6) + 0.0 AS signal, round(a, 6) + 0.0 AS atr, round(trend, 6) + 0.0 AS trend, round((on20 + on50) / 2, 6) + 0.0 AS dc FROM e""")
 def indicators_recursive(spark, d):
-    return I.add(S.daily(spark, d), rsi=I.rsi(), macd=I.macd(), signal=I.macd_signal(), atr=I.atr(), trend=I.supertrend(), dc=I.donchian((20, 50)))
+    out = I.add(S.daily(spark, d), rsi=I.rsi(), macd=I.macd(), signal=I.macd_signal(), atr=I.atr(), trend=I.supertrend(), dc=I.donchian((20, 50)))
+    return out.select("ticker", "ts", "rsi", "macd", "signal", "atr", "trend", "dc")
 
 
 # backtests
@@ -377,7 +400,10 @@ def backtest_indicator_families(spark, d):
     return T.summary(T.indicator_signals(b)).drop("skew", "kurt")
 
 
-@query()
+@query(f"""WITH {_MA}, s AS (SELECT *, sign(coalesce(position, 0)) AS side FROM trial), n AS (SELECT *, CASE WHEN side IS DISTINCT FROM lag(side) OVER (PARTITION BY ticker ORDER BY ts) THEN 1 ELSE 0 END AS fresh FROM s), u AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker ORDER BY ts) AS run FROM n),
+  x AS (SELECT trial, ticker, min(ts) AS entry_ts, count(*) AS held, product(1 + coalesce(net, 0)) - 1 AS net FROM u WHERE side <> 0 GROUP BY trial, ticker, run), y AS (SELECT *, CASE WHEN net > 0 THEN 1 ELSE 0 END AS won FROM x), z AS (SELECT *, sum(won) OVER (PARTITION BY ticker ORDER BY entry_ts) AS streak FROM y), l AS (SELECT *, sum(1 - won) OVER (PARTITION BY ticker, streak) AS losing FROM z),
+  a AS (SELECT trial, ticker, count(*) AS trades, avg(won) AS win_rate, avg(CASE WHEN net > 0 THEN net END) AS mean_win, avg(CASE WHEN net <= 0 THEN net END) AS mean_loss, sum(CASE WHEN net > 0 THEN net END) / nullif(-sum(CASE WHEN net <= 0 THEN net END), 0) AS profit_factor, CAST(max(losing) AS BIGINT) AS losing_streak, sum(held) AS held FROM l GROUP BY trial, ticker)
+  SELECT trial, ticker, n.bars, trades, {r6('win_rate', 'mean_win', 'mean_loss', 'profit_factor')}, losing_streak, round(held / n.bars, 6) + 0.0 AS exposure FROM a JOIN (SELECT trial, ticker, count(*) AS bars FROM trial GROUP BY ALL) n USING (trial, ticker)""")
 def backtest_trades_summary(spark, d):
     return T.trades_summary(_ma(spark, d))
 
