@@ -169,17 +169,10 @@ def discovery_shares(alpha: np.ndarray, omega: np.ndarray) -> dict:
 
 
 def local_whittle(x: np.ndarray, m: int | None = None) -> float:
-    """Robinson's memory parameter from the lowest m frequencies, by golden section."""
-    n = len(x)
-    m = m or int(n**0.65)
-    f = 2 * np.pi * np.arange(1, m + 1) / n
-    i = np.abs(np.fft.fft(x - x.mean())[1 : m + 1]) ** 2 / (2 * np.pi * n)
-    cost = lambda d: math.log((f ** (2 * d) * i).mean()) - 2 * d * np.log(f).mean()
-    lo, hi, k = -0.49, 0.99, (math.sqrt(5) - 1) / 2
-    for _ in range(60):
-        a, b = hi - k * (hi - lo), lo + k * (hi - lo)
-        lo, hi = (lo, b) if cost(a) < cost(b) else (a, hi)
-    return (lo + hi) / 2
+    """Robinson's memory parameter alone; ``series.whittle`` has its error too."""
+    from brindle.functions.series import whittle
+
+    return whittle(x, int(len(x) ** 0.65) if m is None else m)["d"]
 
 
 def variance_breaks(r: np.ndarray, min_segment: int = 60, critical: float = 1.358) -> list[int]:

@@ -58,7 +58,11 @@ def score(trades: DataFrame, *, min_trades: int = 30) -> DataFrame:
 
 def p_values(scored: DataFrame) -> DataFrame:
     """``scored`` with the one-sided p of t on days − 1 degrees of freedom."""
-    tail = F.udf(lambda t, d: None if t is None else stats.t_sf(t, d - 1), "double")
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, days: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else stats.t_sf(x, d - 1) for x, d in zip(t, days)], dtype="float64")
+
     return scored.withColumn("p", tail("t", "days"))
 
 
@@ -195,7 +199,7 @@ def lead_lag(x: DataFrame, y: DataFrame, *, lags_ms: tuple[int, ...] = LAGS_MS,
         if not scale:
             return pd.DataFrame()
         rho = {k: hayashi_yoshida(t, px, s, py, k * 1000) / scale for k in lags_ms}
-        best = max(rho, key=lambda k: (abs(rho[k]), -abs(k)))
+        best = max(rho, key=lambda k: (round(abs(rho[k]), 12), -abs(k), -k))
         behind = sum(v * v for k, v in rho.items() if k < 0)
         return pd.DataFrame([{"ts": key[0], "lead_ms": float(best), "rho_lead": rho[best], "rho_0": rho.get(0), "llr": sum(v * v for k, v in rho.items() if k > 0) / behind if behind else None, "x_ticks": len(a), "y_ticks": len(b)}])
 

@@ -67,10 +67,10 @@ def test_evaluation():
     d = rng.normal(size=(300, 4))
     assert E.multi_horizon(d - 0.5)["p_uniform"] < 0.05 < E.multi_horizon(d + 0.5)["p_average"]
     r = rng.normal(size=2000)
-    out = E.value_at_risk(r, np.full(2000, -1.6449), np.full(2000, -2.0627), 0.05)
+    out = E.var_backtest(r, np.full(2000, -1.6449), np.full(2000, -2.0627), 0.05)
     assert min(out["kupiec_p"], out["independence_p"], out["dq_p"]) > 0.005
     with pytest.raises(Refused):
-        E.value_at_risk(r, np.full(2000, -2.0), np.full(2000, -1.0), 0.05)
+        E.var_backtest(r, np.full(2000, -2.0), np.full(2000, -1.0), 0.05)
     assert E.expected_shortfall_t(1e5, 0.025) == pytest.approx(2.338, abs=0.01)
     assert E.sharpe_difference(r[:500] + 0.4, r[500:1000], reps=200)["p"] < 0.05
     assert E.target_position(np.array([1.0, 2, 0.1]), target=1.0, band=0.6).tolist() == [1.0, 1.0, 2.0]
