@@ -66,6 +66,17 @@ def timed_trades(text: bytes, name: str) -> pd.DataFrame:
     return (out[::-1] if len(out) > 1 and out["ts"].iloc[0] > out["ts"].iloc[-1] else out).sort_values("ts", kind="stable")
 
 
+def contract_trades(text: bytes, name: str, contract: float = 1.0) -> pd.DataFrame:
+    """Trades with named columns, milliseconds, the taker's side in words of either case, and sizes in contracts; a number that repeats is refused, as it doesn't say who crossed."""
+    raw = pd.read_csv(io.BytesIO(text), dtype=str, skipinitialspace=True).apply(lambda c: c.str.strip())
+    if raw["trade_id"].duplicated().any():
+        raise Refused(f"{name}: a trade is listed more than once")
+    side = raw["side"].str.lower().map({"buy": "bid", "sell": "ask"})
+    if side.isna().any():
+        raise Refused(f"{name}: a side is neither buy nor sell")
+    return pd.DataFrame({"name": name, "ts": _times(raw["created_time"], 1000, name), "price": raw["price"].astype(float), "size": raw["size"].astype(float) * contract, "aggressor": side, "trade_id": raw["trade_id"]}).sort_values("ts", kind="stable")
+
+
 def klines(text: bytes, name: str) -> pd.DataFrame:
     raw = table(text, ["time", "open", "high", "low", "close", "volume", "end", "quote", "count"])
     return pd.DataFrame({"name": name, "ts": _times(raw["time"], 1000, name), **{c: raw[c].astype(float) for c in ("open", "high", "low", "close", "volume")}, "trade_count": raw["count"].astype("int64")}).sort_values("ts", kind="stable")
@@ -104,7 +115,7 @@ def book(text: bytes, name: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in BOOK.split(", ")])
 
 
-PARSERS = {"aggregate_trades": (aggregate_trades, TRADES), "timed_trades": (timed_trades, TRADES), "klines": (klines, BARS), "book": (book, BOOK)}
+PARSERS = {"aggregate_trades": (aggregate_trades, TRADES), "timed_trades": (timed_trades, TRADES), "contract_trades": (contract_trades, TRADES), "klines": (klines, BARS), "book": (book, BOOK)}
 
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -133,6 +144,12 @@ def rate_decisions(html: str, year: int) -> list[datetime]:
     return sorted(set(out))
 
 
+def releases(html: str, name: str) -> list[datetime]:
+    """UTC times of a statistics office's releases, at 08:30 in New York, from links like ``archives/cpi_01132021.htm``."""
+    days = {datetime.strptime(x, "%m%d%Y") for x in re.findall(rf"archives/{re.escape(name)}_(\d{{8}})\.htm", html)}
+    return sorted(d.replace(hour=8, minute=30, tzinfo=ZoneInfo("America/New_York")).astimezone(timezone.utc) for d in days)
+
+
 def sampled_days(first: date, last: date, rule: str) -> list[date]:
     """Days by a rule: ``every:<n>``, ``weekly:<Mon…>`` or ``monthly:<Mon…>`` (the first such day of a month)."""
     days = [first + timedelta(days=i) for i in range((last - first).days + 1)]
