@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -39,6 +39,11 @@ def plus(ts: Column, span: str | int) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + F.lit(micros(span)))
 
 
+def tick_order(ticks: DataFrame) -> Column:
+    """The total order of ticks: time, then the stream's number and the row's, where there are such columns."""
+    return F.struct("ts", *[c for c in ("stream_seq", "event_id", "trade_id") if c in ticks.columns])
+
+
 def contiguous(w: WindowSpec | None = None) -> Column:
     """Whether the row before, per ticker, is the bar just before this one; false on the first."""
     w = w or by_ticker()

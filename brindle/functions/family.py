@@ -1,7 +1,7 @@
 """The family of variance models: fits by maximum likelihood and forecasts many steps ahead, on numpy arrays.
 
 A model maps unbounded search coordinates to parameters, and parameters and residuals to the variance of each observation and of
-the next.  Recursions that are linear in the variance are solved in blocks by a triangular product (``scan``), so an evaluation is a
+the next.  Recursions that are linear in the variance are solved in blocks side by side (``scan``), so an evaluation is a
 few array operations; the others are loops.  Everything is worked out on data of unit variance and scaled back.
 """
 
@@ -26,22 +26,25 @@ PATHS = 1000
 
 
 def scan(x: np.ndarray, b: float, start: float) -> np.ndarray:
-    """start, then y[t + 1] = b y[t] + x[t]: within blocks by a triangular product, between them one carry each."""
+    """start, then y[t + 1] = b y[t] + x[t]: blocks side by side, step by step, then one carry from block to block.
+
+    A value does not depend on what follows it, to the last bit.
+    """
     n = len(x)
     whole = -(-n // BLOCK)
     padded = np.zeros(whole * BLOCK)
     padded[:n] = x
-    power = b ** np.arange(BLOCK + 1)
-    gap = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
-    local = padded.reshape(whole, BLOCK) @ np.where(gap >= 0, power[np.maximum(gap, 0)], 0.0).T
-    carry, now = np.empty(whole), float(start)
-    last, end = local[:, -1].tolist(), float(power[-1])
-    for k in range(whole):
+    local = padded.reshape(whole, BLOCK).T.copy()  # a row per step
+    for j in range(1, BLOCK):
+        local[j] += b * local[j - 1]
+    power = b ** np.arange(1, BLOCK + 1)
+    carry, now, end = np.empty(whole), float(start), float(power[-1])
+    for k, last in enumerate(local[-1].tolist()):
         carry[k] = now
-        now = last[k] + end * now
+        now = last + end * now
     out = np.empty(n + 1)
     out[0] = start
-    out[1:] = (local + carry[:, None] * power[1:]).ravel()[:n]
+    out[1:] = (local + power[:, None] * carry).T.ravel()[:n]
     return out
 
 

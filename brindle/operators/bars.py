@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import columns as C
+from brindle.functions.family import scan
 from brindle.refuse import Refused, micros, one_of, require
 
 BARS = ("ticker", "ts", "close_ts", "close")
@@ -133,7 +135,7 @@ def signature(df: DataFrame, minutes: tuple[int, ...], width: str = "1m") -> Dat
 def ewma_vol(df: DataFrame, lam: float = 0.94, warmup: int | None = None) -> DataFrame:
     """ticker, ts, close_ts, n, sigma: exponentially weighted volatility of log returns, seeded with the first square; holes are bridged.
 
-    The recursion has a closed form over a running window only with growing powers, so each ticker's series is a numpy kernel.
+    A ticker's series is one group; its recursion is solved in blocks of array operations.
     """
     if not 0 < lam < 1:
         raise Refused(f"lam={lam} must be inside (0, 1)")
@@ -142,13 +144,12 @@ def ewma_vol(df: DataFrame, lam: float = 0.94, warmup: int | None = None) -> Dat
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("ts")
-        n, s, ns, out = 0, 0.0, [], []
-        for r in p["return"]:
-            if r == r:
-                n, s = n + 1, (r * r if n == 0 else lam * s + (1 - lam) * r * r)
-            ns.append(n)
-            out.append(math.sqrt(s) if n > skip else None)
-        return p[["ticker", "ts", "close_ts"]].assign(n=ns, sigma=pd.array(out, dtype="Float64"))
+        square = p["return"].to_numpy(float) ** 2
+        known = square[~np.isnan(square)]
+        n = np.cumsum(~np.isnan(square))
+        s = scan((1 - lam) * known[1:], lam, known[0]) if len(known) else np.empty(0)
+        sigma = np.sqrt(np.concatenate([[np.nan], s]))[n]
+        return p[["ticker", "ts", "close_ts"]].assign(n=n, sigma=pd.array(np.where(n > skip, sigma, np.nan), dtype="Float64"))
 
     return rows.groupBy("ticker").applyInPandas(run, "ticker string, ts timestamp, close_ts timestamp, n long, sigma double")
 

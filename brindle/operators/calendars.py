@@ -27,10 +27,10 @@ def reopenings(sessions: DataFrame) -> DataFrame:
 
 
 def mark_sessions(frame: DataFrame, sessions: DataFrame, zone: str, name: str) -> DataFrame:
-    """``frame`` with ``<name>_open`` and ``<name>_closed_day``, by the exchange's local date; the calendar is broadcast, a few thousand rows."""
+    """``frame`` with ``<name>_open`` and ``<name>_closed_day``, by the exchange's local date; Spark broadcasts the calendar if it is as small as calendars are."""
     require(frame, ["ts"])
-    s = F.broadcast(sessions.select(F.col("date").alias("_d"), F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close")))
-    shut = F.broadcast(closures(sessions).select(F.col("date").alias("_d"), F.lit(True).alias("_shut")))
+    s = sessions.select(F.col("date").alias("_d"), F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close"))
+    shut = closures(sessions).select(F.col("date").alias("_d"), F.lit(True).alias("_shut"))
     rows = frame.withColumn("_d", F.to_date(F.from_utc_timestamp("ts", zone))).join(s, "_d", "left").join(shut, "_d", "left")
     inside = F.coalesce((F.col("ts") >= F.col("_open")) & (F.col("ts") < F.col("_close")), F.lit(False))
     return rows.withColumns({f"{name}_open": inside, f"{name}_closed_day": F.coalesce("_shut", F.lit(False))}).drop("_d", "_open", "_close", "_shut")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from brindle.functions import columns as C
+from brindle.functions.family import scan
 from brindle.refuse import Refused, one_of, require
 
 Rolling = Callable[[WindowSpec], Column]
@@ -67,9 +68,7 @@ def seeded(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
     have = np.flatnonzero(~np.isnan(x))
     if len(have) < n:
         return out
-    y = out[have[n - 1]] = x[have[:n]].mean()
-    for i in have[n:]:
-        y = out[i] = alpha * x[i] + (1 - alpha) * y
+    out[have[n - 1 :]] = scan(alpha * x[have[n:]], 1 - alpha, float(x[have[:n]].mean()))
     return out
 
 

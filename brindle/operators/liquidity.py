@@ -49,7 +49,7 @@ def flow(trades: DataFrame, every: str = "1m") -> DataFrame:
     value = F.col("price") * F.col("size")
     out = trades.groupBy(*keys, C.bucket(F.col("ts"), every).alias("_b")).agg(
         F.coalesce(F.sum(F.when(F.col("aggressor") == "bid", value)), F.lit(0.0)).alias("buy"), F.coalesce(F.sum(F.when(F.col("aggressor") == "ask", value)), F.lit(0.0)).alias("sell"),
-        F.max_by("price", "ts").alias("last"), F.count(F.lit(1)).alias("trades"),
+        F.max_by("price", C.tick_order(trades)).alias("last"), F.count(F.lit(1)).alias("trades"),
     ).withColumnRenamed("_b", "ts")
     w = W.partitionBy(*keys).orderBy("ts")
     adjacent = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) == micros(every)

@@ -122,9 +122,12 @@ def pbo(frame: DataFrame, columns: list[str], *, blocks: int = 16) -> dict:
     n = m.count()
     if n < 2 * blocks:
         raise Refused("too few rows")
-    w = W.partitionBy(F.lit(0)).orderBy("ts")
-    block = F.floor((F.row_number().over(w) - 1) * blocks / n)
-    sums = m.withColumn("_b", block).groupBy("_b").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)], *[F.sum(F.pow(F.col(f"`{c}`"), 2)).alias(f"q{i}") for i, c in enumerate(columns)]).orderBy("_b").collect()
+    # rows are numbered within their day, after those of the days before, which are few to sum
+    per_day = m.groupBy(F.to_date("ts").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    per_day = per_day.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_d").orderBy("ts")) - 1
+    numbered = m.withColumn("_d", F.to_date("ts")).join(per_day, "_d").withColumn("_b", F.floor(place * blocks / n))
+    sums = numbered.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)], *[F.sum(F.pow(F.col(f"`{c}`"), 2)).alias(f"q{i}") for i, c in enumerate(columns)]).orderBy("_b").collect()
     k = range(len(columns))
     return stats.pbo_from_sums(np.array([r["n"] for r in sums], float), np.array([[r[f"s{i}"] for i in k] for r in sums]), np.array([[r[f"q{i}"] for i in k] for r in sums]))
 

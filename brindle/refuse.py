@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 
@@ -29,8 +29,8 @@ def instant(name: str, value: datetime) -> int:
     """Microseconds since the epoch of a zone-aware instant."""
     if value.tzinfo is None:
         raise Refused(f"{name} has no time zone")
-    epoch = datetime.fromtimestamp(0, tz=value.tzinfo)
-    return (value - epoch) // timedelta(microseconds=1)
+    # against an epoch of another zone, as times of one zone are subtracted by the clock on the wall
+    return (value - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
 
 
 def window(start: datetime, end: datetime) -> tuple[int, int]:

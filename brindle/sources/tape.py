@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators import record as R
-from brindle.refuse import Refused, micros, require, window
+from brindle.refuse import Refused, instant, micros, require, window
 
 _TICK = "venue string, ticker string, at_micros long, recv_micros long, stream_seq decimal(20,0)"
 _D = "decimal(38,18)"
@@ -38,6 +38,10 @@ def scan(spark: SparkSession, root: str, kind: str, start: datetime | None = Non
     if start is not None and end is not None:
         lo, hi = window(start, end)
         df = df.where(F.col("date").between(F.to_date(F.timestamp_micros(F.lit(lo))), F.to_date(F.timestamp_micros(F.lit(hi - 1)))))
+    elif start is not None:
+        df = df.where(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(instant("start", start)))))
+    elif end is not None:
+        df = df.where(F.col("date") <= F.to_date(F.timestamp_micros(F.lit(instant("end", end)))))
     if tickers is not None:
         df = df.where(F.col("ticker").isin(tickers) | (F.col("ticker").isNull() if kind == "gaps" else F.lit(False)))
     return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) and f.name != "stream_seq" else F.col(f.name) for f in df.schema.fields])
@@ -63,7 +67,8 @@ def candles(spark: SparkSession, root: str, tickers: list[str], interval: str, s
     lo, hi = window(start, end)
     rows = R.latest(raw.where((F.col("at_micros") >= lo) & (F.col("at_micros") < hi)), [*series, "at_micros"], ["recv_micros", "stream_seq"])
     if closed_only:
-        last = scan(spark, root, "candles", tickers=tickers).where(F.col("interval") == interval).groupBy(*series).agg(F.max("at_micros").alias("_last"))
+        # a bar is closed if its series has a later one, which lies in the window's first day or after
+        last = scan(spark, root, "candles", start, None, tickers).where(F.col("interval") == interval).groupBy(*series).agg(F.max("at_micros").alias("_last"))
         rows = rows.join(last, series).where("at_micros < _last")
     if traded_only:
         rows = rows.where("trade_count > 0")
@@ -105,7 +110,7 @@ def received(spark: SparkSession, root: str, kind: str, values: list[str], ticke
 def gaps(spark: SparkSession, root: str, start: datetime, end: datetime, *, tickers: list[str] | None = None, series: str | None = None) -> DataFrame:
     """Gaps that overlap a window; those of a whole venue have no ticker and stay."""
     lo, hi = window(start, end)
-    rows = scan(spark, root, "gaps", tickers=tickers).where((F.col("from_micros") < hi) & (F.col("to_micros") > lo))
+    rows = scan(spark, root, "gaps", end=end, tickers=tickers).where((F.col("from_micros") < hi) & (F.col("to_micros") > lo))
     rows = rows if series is None else rows.where(F.col("series") == series)
     return rows.select("venue", "ticker", "series", _clock("from_micros").alias("from_ts"), _clock("to_micros").alias("to_ts"), "cause")
 

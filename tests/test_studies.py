@@ -81,3 +81,35 @@ def test_overlays_excursions_and_fees(spark):
     assert x and all(r["mae"] <= r["mfe"] for r in x)
     with pytest.raises(Refused):
         studies.charged_fee(backtest.momentum(b, (5,), fee=0.0).where("false"))
+
+
+def test_instants_are_those_of_the_clock_in_summer_too():
+    from datetime import datetime, timezone
+    from zoneinfo import ZoneInfo
+
+    from brindle.refuse import instant
+
+    for month in (1, 7):
+        t = datetime(2024, month, 1, 12, tzinfo=ZoneInfo("America/New_York"))
+        assert instant("t", t) == t.timestamp() * 1_000_000 == instant("t", t.astimezone(timezone.utc))
+
+
+def test_as_of_joins_across_days_are_brute_forces(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from brindle.operators.asof import asof
+
+    rng = random.Random(3)
+    t0 = datetime(2024, 1, 1)
+    at = lambda: t0 + timedelta(hours=rng.randrange(24 * 12), minutes=rng.choice([0, 0, 30]))
+    left = [(rng.choice(["a", "b", None]), at() if rng.random() < 0.95 else None, i) for i in range(150)]
+    right = [(k, t, float(i)) for i, (k, t) in enumerate({(rng.choice(["a", "b", None, "c"]), at()) for _ in range(25)})]
+    l = spark.createDataFrame(left, "k string, t timestamp, i int")  # noqa: E741
+    r = spark.createDataFrame(right, "k string, s timestamp, v double")
+    for strict, tolerance in ((False, None), (True, None), (False, "30h")):
+        got = {x["i"]: (x["s"], x["v"]) for x in asof(l, r, "t", "s", ["k"], strict=strict, tolerance=tolerance).collect()}
+        assert len(got) == len(left)
+        for k, t, i in left:
+            seen = [(s, v) for kk, s, v in right if kk == k and t is not None and (s < t if strict else s <= t) and (tolerance is None or t - s <= timedelta(hours=30))]
+            assert got[i] == max(seen, default=(None, None))
