@@ -145,7 +145,26 @@ def lee_mykland(rets: DataFrame, *, per_day: int, window: int | None = None, alp
     if rule == "gumbel":
         top = stats.gumbel_threshold(per_day, alpha)
         return rows.withColumns({"threshold": F.lit(top), "jump": F.coalesce(F.abs("L") > top, F.lit(False))})
-    return rows.withColumn("p_value", F.udf(lambda x: None if x is None else math.erfc(abs(x) / math.sqrt(2)), "double")("L"))
+    return false_discoveries(rows.withColumn("p_value", C.erfc(F.abs("L") / math.sqrt(2))), "p_value", q).withColumnRenamed("discovery", "jump")
+
+
+def false_discoveries(df: DataFrame, p: str, q: float) -> DataFrame:
+    """``df`` with ``discovery``: the rule of Benjamini and Hochberg at ``q`` over every row that has a p.
+
+    The rule looks for the largest p whose rank reaches n p / q.  Rows are counted in narrow bins of log p; the bins before each one give the ranks that
+    its rows have at most, so only bins that may hold the threshold are ranked, each on its own.  Two numbers come to the driver.
+    """
+    if not 0 < q < 1:
+        raise Refused(f"q={q} must be inside (0, 1)")
+    n = df.agg(F.count(p)).first()[0]
+    bin_ = F.floor(-F.ln(F.greatest(F.col(p), F.lit(1e-300))) * 1000)
+    tested = df.where(F.col(p) <= q).select(F.col(p).alias("_p"), bin_.alias("_bin"))
+    smaller = W.partitionBy(F.lit(0)).orderBy(F.col("_bin").desc()).rowsBetween(W.unboundedPreceding, -1)
+    counted = tested.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_p").alias("_least")).withColumn("_above", F.coalesce(F.sum("_c").over(smaller), F.lit(0)))
+    may = counted.where(F.col("_least") * n <= (F.col("_above") + F.col("_c")) * q).select("_bin", "_above")
+    rank = F.col("_above") + F.row_number().over(W.partitionBy("_bin").orderBy("_p"))
+    top = tested.join(may, "_bin").withColumn("_rank", rank).where(F.col("_p") * n <= F.col("_rank") * q).agg(F.max("_p")).first()[0]
+    return df.withColumn("discovery", F.lit(False) if top is None else F.coalesce(F.col(p) <= top, F.lit(False)))
 
 
 def _shorth(x: np.ndarray) -> float:

@@ -177,6 +177,15 @@ def jumps_lee_mykland(spark, d):
     return O.lee_mykland(B.returns(S.daily(spark, d), "log"), per_day=4, window=16).select("ticker", "ts", "sigma_local", F.col("L").alias("l"), "jump")
 
 
+_ERFC = lambda x: (lambda t: f"({t}) * exp({' + '.join(f'{c}::DOUBLE * pow({t}, {k})' for k, c in enumerate(C.ERFC))} - {x} * {x})")(f"(1 / (1 + {x} / 2))")
+
+
+@query(f"""WITH {_LM}, p AS (SELECT ticker, ts, lr / nullif(sigma, 0) AS l, abs(lr / nullif(sigma, 0)) / sqrt(2) AS z FROM c), v AS (SELECT *, {_ERFC('z')} AS p FROM p), k AS (SELECT p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM v WHERE p IS NOT NULL), top AS (SELECT max(p) AS t FROM k WHERE p * n <= r * 0.5::DOUBLE)
+  SELECT ticker, epoch_us(ts) AS ts, round(p, 6) + 0.0 AS p_value, coalesce(p <= t, false) AS jump FROM v, top""")
+def jumps_false_discovery(spark, d):
+    return O.lee_mykland(B.returns(S.daily(spark, d), "log"), per_day=4, window=16, rule="bh", q=0.5).select("ticker", "ts", "p_value", "jump")
+
+
 @query()
 def jump_periodicity(spark, d):
     return O.periodicity(B.returns(S.hourly(spark, d), "log"), slot_minutes=60, per_day=12, by="time_of_day")

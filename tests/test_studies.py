@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import backtest, studies
 from brindle.refuse import Refused
@@ -113,3 +114,27 @@ def test_as_of_joins_across_days_are_brute_forces(spark):
         for k, t, i in left:
             seen = [(s, v) for kk, s, v in right if kk == k and t is not None and (s < t if strict else s <= t) and (tolerance is None or t - s <= timedelta(hours=30))]
             assert got[i] == max(seen, default=(None, None))
+
+
+def test_false_discoveries_are_the_step_up_rule(spark):
+    import random
+
+    from brindle.operators.order_flow import false_discoveries
+
+    rng = random.Random(5)
+    for share in (0.0, 0.05, 0.3):
+        p = [rng.random() ** (8 if rng.random() < share else 1) for _ in range(800)] + [0.0, 1.0]
+        ranked = sorted(p)
+        top = max((x for k, x in enumerate(ranked, 1) if x * len(p) <= k * 0.1), default=None)
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(p)] + [(-1, None)], "i int, p double")
+        got = {r["i"]: r["discovery"] for r in false_discoveries(rows, "p", 0.1).collect()}
+        assert got.pop(-1) is False and all(got[i] == (top is not None and x <= top) for i, x in enumerate(p))
+
+
+def test_the_error_function(spark):
+    import math
+
+    from brindle.functions import columns as C
+
+    rows = spark.createDataFrame([(x / 7,) for x in range(60)], "x double").select("x", C.erfc(F.col("x")).alias("e")).collect()
+    assert all(r["e"] == pytest.approx(math.erfc(r["x"]), rel=2e-7) for r in rows)
