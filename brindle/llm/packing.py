@@ -21,7 +21,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +159,8 @@ class _Ids(dict):
                 cut.append((w, stem))
                 continue
             text = stem.decode("utf-8", "replace")
-            # a capital dotted I lowers to two characters, the second of which is no letter and splits the word
-            if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and is_normalized("NFC", text) and text.lower().isalpha() and is_normalized("NFC", text.lower()))):
+            # letters below U+0250 are composed, and lower to single letters but for a capital dotted I
+            if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)):
                 stems[stem] = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.shown)
                 cut.append((w, stem))
             else:

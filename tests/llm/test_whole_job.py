@@ -40,3 +40,11 @@ def test_short_notices_and_notices_in_different_places():
     assert names(f"{noise} {three} {noise}") == {"GPL-3.0"}
     assert names(f"{noise} {two} {noise}") == {"GPL-2.0"}
     assert names(f"{three} {noise} {two}") == names(f"{two} {noise} {three}") == names(f"{three} {two}") == {"GPL-2.0", "GPL-3.0"}
+
+
+def test_every_letter_below_the_bound_is_the_librarys_in_words():
+    ids = _Ids(tokenizer("word_bpe_49k.json"))
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    words = [*letters, *("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(3000))]
+    assert ids.of([" ".join(words)]) == ids.encode(ids.library, [" ".join(words)])
