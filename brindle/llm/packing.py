@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ from brindle.llm.token_counts import byte_alphabet
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Bytes of text whose words are numbered at once.
+PIECE = 1 << 23
+
+
 class TournamentTree:
     """Bins of equal capacity, opened in order; ``fit`` finds the first with room."""
 
@@ -173,22 +178,47 @@ class _Ids(dict):
             self[w] = known[s] + ends[w[len(s) :]] if len(w) > len(s) else known[s]
         self.update(zip(whole, self.encode(self.library, [w.decode("utf-8", "replace") for w in whole])))
 
+    def prepared(self, text: str | None) -> bytes:
+        """The text with its words, as ``words`` gives them, between white space."""
+        raw = as_bytes(text)
+        return b" ".join(self.words(text)) if b"<|" in raw else _MARK.sub(rb" \g<0>", raw.lower())
+
+    def blobs(self, texts: list[str | None], end: bytes = b"") -> pa.BinaryArray:
+        """The ids of each text and then ``end``.
+
+        The texts' words are split and numbered by Arrow; each different word is looked up once, and the ids are gathered in whole arrays.
+        """
+        if len(self) > self.most:
+            self.clear()
+        if len(self.stems) > self.most:
+            self.stems = {b"": b""}
+        split = pc.ascii_split_whitespace(pa.array(map(self.prepared, texts), pa.string()))
+        number = split.values.dictionary_encode()
+        words = number.dictionary.cast(pa.binary()).to_pylist()  # white space at an edge gives an empty one, which has no ids
+        made = list(map(self.get, words))
+        self.learn({w for w, v in zip(words, made) if v is None and w})
+        made = [v if v is not None else self[w] if w else b"" for w, v in zip(words, made)]
+        unit = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // unit.itemsize
+        begin = np.cumsum(size) - size
+        which = number.indices.to_numpy()
+        times = size[which]
+        after = np.concatenate([[0], np.cumsum(times)])
+        ids = np.frombuffer(b"".join(made), unit)[np.repeat(begin[which] - after[:-1], times) + np.arange(after[-1])]
+        # room for the end after each text
+        stop = after[split.offsets.to_numpy()]
+        tail = np.frombuffer(end, unit)
+        count = np.diff(stop)
+        out = np.empty(len(ids) + len(texts) * len(tail), unit)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)) * len(tail), count)] = ids
+        ends = (np.cumsum(count + len(tail))).astype(np.int64)
+        for j in range(len(tail)):
+            out[ends - len(tail) + j] = tail[j]
+        offsets = np.concatenate([[0], ends * unit.itemsize]).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
     def of(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 1024):
-            if len(self) > self.most:
-                self.clear()
-            if len(self.stems) > self.most:
-                self.stems = {b"": b""}
-            split = [self.words(t) for t in texts[at : at + 1024]]
-            made = [list(map(self.get, words)) for words in split]
-            gaps = [[k for k, v in enumerate(m) if v is None] for m in made]
-            self.learn({words[k] for words, g in zip(split, gaps) for k in g})
-            for words, m, g in zip(split, made, gaps):
-                for k in g:
-                    m[k] = self[words[k]]
-            out += map(b"".join, made)
-        return out
+        return self.blobs(texts).to_pylist()
 
 
 _known: dict[str, _Ids] = {}
@@ -200,9 +230,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _known.get(tokenizer_path) or _known.setdefault(tokenizer_path, _Ids(tokenizer_path))
         end = array(ids.kind, [end_id]).tobytes()
-        for batch in in_pieces(batches):
-            made = [x + end for x in ids.of(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "ids"])
+        for batch in in_pieces(batches, PIECE):
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids.blobs(batch.column(1).to_pylist(), end)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
