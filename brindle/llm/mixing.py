@@ -76,9 +76,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
     if not keep_rows:
         rows = cut(docs.sparkSession, rows)
     slices = slices or max(SLICES, -(-docs.count() // SLICE_DOCS))
-    # falls short of 1 by the mean of the exponentials, so it rises with the key
-    curve = F.lit(1.0) - sum((F.exp(-F.col("key") * F.lit(r)) for r in RATES), F.lit(0.0)) / F.lit(float(len(RATES)))
-    rows = rows.withColumn("slice", F.floor(F.lit(slices) * curve).cast("int"))
+
+    def curve(key: Column) -> Column:
+        """Falls short of 1 by the mean of the exponentials, so it rises with the key."""
+        return F.lit(1.0) - sum((F.exp(-key * F.lit(r)) for r in RATES), F.lit(0.0)) / F.lit(float(len(RATES)))
+
+    # inside the lambda the key, which is costly, is a value and not an expression that is worked out for every rate
+    rows = rows.withColumn("slice", F.element_at(F.transform(F.array("key"), lambda k: F.floor(F.lit(slices) * curve(k))), 1).cast("int"))
     of_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     of_source = targets(of_slice.select("source", F.col("slice_size").alias("size")), weights, most)
     of_slice = of_slice.withColumn("before", F.coalesce(F.sum("slice_size").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
