@@ -23,7 +23,7 @@ WORD_SEPARATORS = r"[ \t\n\u000B\f\r]+"
 BROADCAST_ROWS = 2_000_000
 
 #: Bytes of text that a Python worker turns into one array of results; longer batches are cut, single rows never are.
-BATCH_BYTES = 1 << 25
+BATCH_BYTES = 1 << 23
 
 U = np.uint64
 M64 = (1 << 64) - 1
