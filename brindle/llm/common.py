@@ -44,7 +44,7 @@ def seeds(n: int, start: int = 1) -> np.ndarray:
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered for at most ``most`` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 
@@ -173,3 +173,4 @@ def in_pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Ite
                 begin, held = i, 0
             held += n
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages

@@ -131,17 +131,18 @@ class _Ids(dict):
     This vocabulary drops white space and encodes a run of letters and a run of punctuation apart, so a text's ids are its
     words' ids in a row, and those of ``thing,`` are those of ``thing`` and of ``,``.  Words that aren't known yet are cut into such a stem and
     tail; unknown stems of Latin letters in composed form are merged together by the library's model; any other word is encoded whole
-    by the library.  At most about ``most`` words and as many stems are remembered (some 150 bytes each), from task to task.
+    by the library.  At most about ``most`` stems, and a quarter as many words put together from them and words encoded whole, are remembered
+    (some 150 bytes each), from task to task.
     """
 
     TAIL = b".,;:!?)]}\"%&*#$"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.stems = Tokenizer.from_file(path), most, {b"": b""}
+        self.library, self.most, self.stems, self.odd = Tokenizer.from_file(path), most, {b"": b""}, {}
         self.model = Tokenizer(self.library.model)
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.kind = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
@@ -157,8 +158,11 @@ class _Ids(dict):
         return [array(self.kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: set[bytes]) -> None:
-        cut, stems, whole, tail = [], {}, [], self.TAIL
+        cut, stems, whole, tail, odd = [], {}, [], self.TAIL, self.odd
         for w in new:
+            if (held := odd.get(w)) is not None:
+                self[w] = held
+                continue
             stem = w.rstrip(tail)
             if stem in self.stems or stem in stems:
                 cut.append((w, stem))
@@ -176,7 +180,8 @@ class _Ids(dict):
         known = self.stems
         for w, s in cut:
             self[w] = known[s] + ends[w[len(s) :]] if len(w) > len(s) else known[s]
-        self.update(zip(whole, self.encode(self.library, [w.decode("utf-8", "replace") for w in whole])))
+        odd.update(zip(whole, self.encode(self.library, [w.decode("utf-8", "replace") for w in whole])))
+        self.update((w, odd[w]) for w in whole)
 
     def prepared(self, text: str | None) -> bytes:
         """The text with its words, as ``words`` gives them, between white space."""
@@ -188,10 +193,10 @@ class _Ids(dict):
 
         The texts' words are split and numbered by Arrow; each different word is looked up once, and the ids are gathered in whole arrays.
         """
-        if len(self) > self.most:
-            self.clear()
-        if len(self.stems) > self.most:
-            self.stems = {b"": b""}
+        for held, most in ((self, self.most // 4), (self.stems, self.most), (self.odd, self.most // 4)):
+            if len(held) > most:
+                held.clear()
+        self.stems[b""] = b""
         split = pc.ascii_split_whitespace(pa.array(map(self.prepared, texts), pa.string()))
         number = split.values.dictionary_encode()
         words = number.dictionary.cast(pa.binary()).to_pylist()  # white space at an edge gives an empty one, which has no ids
