@@ -36,6 +36,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Bytes of text whose words are numbered at once.
 PIECE = 1 << 23
+#: Words that a worker remembers.
+REMEMBER = 700_000
 
 
 class TournamentTree:
@@ -131,13 +133,13 @@ class _Ids(dict):
     This vocabulary drops white space and encodes a run of letters and a run of punctuation apart, so a text's ids are its
     words' ids in a row, and those of ``thing,`` are those of ``thing`` and of ``,``.  Words that aren't known yet are cut into such a stem and
     tail; unknown stems of Latin letters in composed form are merged together by the library's model; any other word is encoded whole
-    by the library.  At most about ``most`` stems, and a quarter as many words put together from them and words encoded whole, are remembered
+    by the library.  At most about ``most`` stems, as many words put together from them, and a quarter as many words encoded whole are remembered
     (some 150 bytes each), from task to task.
     """
 
     TAIL = b".,;:!?)]}\"%&*#$"
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = REMEMBER):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
@@ -193,7 +195,7 @@ class _Ids(dict):
 
         The texts' words are split and numbered by Arrow; each different word is looked up once, and the ids are gathered in whole arrays.
         """
-        for held, most in ((self, self.most // 4), (self.stems, self.most), (self.odd, self.most // 4)):
+        for held, most in ((self, self.most), (self.stems, self.most), (self.odd, self.most // 4)):
             if len(held) > most:
                 held.clear()
         self.stems[b""] = b""
@@ -226,14 +228,15 @@ class _Ids(dict):
         return self.blobs(texts).to_pylist()
 
 
-_known: dict[str, _Ids] = {}
+_known: dict[tuple[str, int], _Ids] = {}
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, remember: int = REMEMBER) -> DataFrame:
     """doc_id, ids: each text's ids and then ``end_id``, as binary of 16- or 32-bit units (by the vocabulary's size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _known.get(tokenizer_path) or _known.setdefault(tokenizer_path, _Ids(tokenizer_path))
+        key = tokenizer_path, remember
+        ids = _known.get(key) or _known.setdefault(key, _Ids(*key))
         end = array(ids.kind, [end_id]).tobytes()
         for batch in in_pieces(batches, PIECE):
             yield pa.RecordBatch.from_arrays([batch.column(0), ids.blobs(batch.column(1).to_pylist(), end)], names=["doc_id", "ids"])
@@ -241,11 +244,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def pack_sequences(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, group_docs: int = 2048, min_cut: int = 32, wide: bool = False) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, group_docs: int = 2048, min_cut: int = 32, wide: bool = False, remember: int = REMEMBER) -> DataFrame:
     """Pack every document of (doc_id, text) into sequences of at most ``length`` ids.  Returns a row per piece.
 
     ``group_docs`` is the expected number of documents in a group.  The vocabulary must drop white space and never join
-    words across it.  ``wide``: the vocabulary has over 65,536 ids.
+    words across it.  ``wide``: the vocabulary has over 65,536 ids.  ``remember``: words that a worker remembers, some 300 bytes each with their stems; fewer take
+    longer and give the same.
     """
     groups = max(1, -(-docs.count() // group_docs))
     kind = np.uint32 if wide else np.uint16
@@ -263,5 +267,5 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
                 c.append(v)
         return pa.table(dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), (pa.array(c, pa.int64()) for c in cols))))
 
-    dealt = tokenize(docs, tokenizer_path, end_id).withColumn("pack_group", F.pmod(F.xxhash64(F.lit("deal"), "doc_id", "ids"), F.lit(groups)))
+    dealt = tokenize(docs, tokenizer_path, end_id, remember).withColumn("pack_group", F.pmod(F.xxhash64(F.lit("deal"), "doc_id", "ids"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(run, SCHEMA)
