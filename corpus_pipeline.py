@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
-    return packing.pack_sequences(docs, tokenizer("word_bpe_49k.json"), length=2048, end_id=1)
+    """Pieces of sequences of at most 2048 tokens; a worker remembers fewer words than it would alone, as it serves the other stages too."""
+    return packing.pack_sequences(docs, tokenizer("word_bpe_49k.json"), length=2048, end_id=1, remember=250_000)
 
 
 STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_dedup), ("suffix_array_dedup", passage_dedup), ("mixing", mix_sources), ("packing", pack)]
