@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 #: Bytes of text whose words are numbered at once.
-PIECE = 1 << 23
+PIECE = 1 << 21
 #: Words that a worker remembers.
 REMEMBER = 700_000
 
