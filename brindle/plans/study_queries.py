@@ -89,14 +89,15 @@ _FORECASTS = "f AS (SELECT event_type AS ticker, ts, (event_id % 97 + 1) / 99.0:
 
 def _forecasts(spark, d):
     t = S.table(spark, d, "events")
-    own = t.select("event_type", F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_id") % 97 + 1) / 99).alias("p"), ((F.col("user_id") % 89 + 1) / 91).alias("b"), (F.col("value") > 50).cast("int").alias("y"))
+    own = t.select("event_type", F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_id") % 97 + 1) / 99).alias("p"), ((F.col("user_id") % 89 + 1) / 91).alias("b"), (F.col("value") > 50).cast("int").alias("y"), F.monotonically_increasing_id().alias("row"))
     both = F.explode(F.array(F.struct(F.lit("B").alias("set"), F.col("p")), F.struct(F.lit("A").alias("set"), F.col("b").alias("p")))).alias("_s")
-    return own.select(F.col("event_type").alias("ticker"), "ts", F.col("ts").alias("close_ts"), F.lit(1).alias("h"), "y", both).select("ticker", "ts", "close_ts", "h", "y", "_s.*")
+    return own.select(F.col("event_type").alias("ticker"), "ts", F.col("ts").alias("close_ts"), F.lit(1).alias("h"), "y", "row", both).select("ticker", "ts", "close_ts", "h", "y", "row", "_s.*")
 
 
 @query(f"WITH {_FORECASTS} SELECT ticker, epoch_us(ts) AS ts, round(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END, 6) + 0.0 AS loss_model, round(-CASE WHEN y = 1 THEN ln(b) ELSE ln(1 - b) END, 6) + 0.0 AS loss_benchmark, round(pow(p - y, 2), 6) + 0.0 AS brier_model, round(pow(b - y, 2), 6) + 0.0 AS brier_benchmark FROM f")
 def paired_losses(spark, d):
-    return walks.paired(_forecasts(spark, d), "B", "A").drop("close_ts", "h")
+    # events of one type may share an instant, so forecasts are paired by the event
+    return walks.paired(_forecasts(spark, d), "B", "A", row="row").drop("close_ts", "h")
 
 
 @query(f"WITH {_FORECASTS} SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) + 0.0 AS mean_p, round(avg(y), 6) + 0.0 AS rate FROM f GROUP BY 1")
