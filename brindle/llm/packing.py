@@ -125,6 +125,8 @@ def pack(lengths: list[int], length: int, min_cut: int = 32) -> list[tuple[int,
 
 #: A single mark between a letter or digit and white space is a pre-token of its own.
 _MARK = re.compile(rb"[.,;:!?](?<=[a-z0-9][.,;:!?])(?=[ \n])")
+#: The same by byte: 1 a lower-case letter or digit, 2 a mark, 3 a space or line feed.
+_KINDS = np.array([1 if b in b"abcdefghijklmnopqrstuvwxyz0123456789" else 2 if b in b".,;:!?" else 3 if b in b" \n" else 0 for b in range(256)], np.uint8)
 
 
 class _Ids(dict):
@@ -159,29 +161,34 @@ class _Ids(dict):
     def encode(self, tokenizer, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: set[bytes]) -> None:
-        cut, stems, whole, tail, odd = [], {}, [], self.TAIL, self.odd
+    def learn(self, new: list[bytes]) -> None:
+        plain, tailed, stems, other, whole, tail, known, odd = [], [], {}, {}, [], self.TAIL, self.stems, self.odd
         for w in new:
-            if (held := odd.get(w)) is not None:
-                self[w] = held
-                continue
             stem = w.rstrip(tail)
-            if stem in self.stems or stem in stems:
-                cut.append((w, stem))
-                continue
-            text = stem.decode("utf-8", "replace")
-            # letters below U+0250 are composed, and lower to single letters but for a capital dotted I
-            if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)):
-                stems[stem] = text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.shown)
-                cut.append((w, stem))
+            if stem not in known and stem not in stems and stem not in other:
+                if stem.isalpha():  # as bytes: of ASCII letters alone
+                    stems[stem] = None
+                elif w in odd:
+                    self[w] = odd[w]
+                    continue
+                else:
+                    text = stem.decode("utf-8", "replace")
+                    # letters below U+0250 are composed, and lower to single letters but for a capital dotted I
+                    if text.isascii() or not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+                        whole.append(w)
+                        continue
+                    other[stem] = text.lower().encode().decode("latin-1").translate(self.shown)
+            if len(stem) == len(w):
+                plain.append(w)
             else:
-                whole.append(w)
-        self.stems.update(zip(stems, self.encode(self.model, list(stems.values()))))
-        tails = list({w[len(s) :] for w, s in cut})
+                tailed.append((w, stem))
+        texts = b" ".join(stems).decode("ascii").split(" ") if stems else []
+        known.update(zip([*stems, *other], self.encode(self.model, [*texts, *other.values()])))
+        self.update(zip(plain, map(known.__getitem__, plain)))
+        tails = list({w[len(s) :] for w, s in tailed})
         ends = dict(zip(tails, self.encode(self.library, [t.decode() for t in tails])))
-        known = self.stems
-        for w, s in cut:
-            self[w] = known[s] + ends[w[len(s) :]] if len(w) > len(s) else known[s]
+        for w, s in tailed:
+            self[w] = known[s] + ends[w[len(s) :]]
         odd.update(zip(whole, self.encode(self.library, [w.decode("utf-8", "replace") for w in whole])))
         self.update((w, odd[w]) for w in whole)
 
@@ -190,7 +197,22 @@ class _Ids(dict):
         raw = as_bytes(text)
         return b" ".join(self.words(text)) if b"<|" in raw else _MARK.sub(rb" \g<0>", raw.lower())
 
-    def blobs(self, texts: list[str | None], end: bytes = b"") -> pa.BinaryArray:
+    def marked(self, texts: pa.StringArray) -> pa.StringArray:
+        """Each text as ``prepared`` gives it, by passes over all their bytes; a mark at a text's edge may get a space too, which changes no ids."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return texts
+        begin = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = bytes(memoryview(texts.buffers()[2] or b"")[begin[0] : begin[-1]])
+        if b"<|" in raw:
+            return pa.array(map(self.prepared, texts.to_pylist()), pa.string())
+        raw, begin = np.frombuffer(raw.lower(), np.uint8), begin - begin[0]
+        kind = _KINDS[raw]
+        at = np.flatnonzero((kind[1:-1] == 2) & (kind[:-2] == 1) & (kind[2:] == 3)) + 1
+        out, begin = np.insert(raw, at, 0x20), (begin + np.searchsorted(at, begin)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(begin), pa.py_buffer(out))
+
+    def blobs(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
         """The ids of each text and then ``end``.
 
         The texts' words are split and numbered by Arrow; each different word is looked up once, and the ids are gathered in whole arrays.
@@ -198,13 +220,15 @@ class _Ids(dict):
         for held, most in ((self, self.most), (self.stems, self.most), (self.odd, self.most // 4)):
             if len(held) > most:
                 held.clear()
-        self.stems[b""] = b""
-        split = pc.ascii_split_whitespace(pa.array(map(self.prepared, texts), pa.string()))
+        self[b""] = self.stems[b""] = b""  # white space at an edge gives an empty word, which has no ids
+        split = pc.ascii_split_whitespace(self.marked(texts))
         number = split.values.dictionary_encode()
-        words = number.dictionary.cast(pa.binary()).to_pylist()  # white space at an edge gives an empty one, which has no ids
+        words = number.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         made = list(map(self.get, words))
-        self.learn({w for w, v in zip(words, made) if v is None and w})
-        made = [v if v is not None else self[w] if w else b"" for w, v in zip(words, made)]
+        missing = [i for i, v in enumerate(made) if v is None]
+        self.learn([words[i] for i in missing])
+        for i in missing:
+            made[i] = self[words[i]]
         unit = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
         size = np.fromiter(map(len, made), np.int64, len(made)) // unit.itemsize
         begin = np.cumsum(size) - size
@@ -225,7 +249,7 @@ class _Ids(dict):
         return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        return self.blobs(texts).to_pylist()
+        return self.blobs(pa.array(map(as_bytes, texts), pa.string())).to_pylist()
 
 
 _known: dict[tuple[str, int], _Ids] = {}
@@ -239,7 +263,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, remember: int =
         ids = _known.get(key) or _known.setdefault(key, _Ids(*key))
         end = array(ids.kind, [end_id]).tobytes()
         for batch in in_pieces(batches, PIECE):
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids.blobs(batch.column(1).to_pylist(), end)], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids.blobs(batch.column(1), end)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
