@@ -111,12 +111,18 @@ def _discard_all() -> None:
         discard(spark, path)
 
 
+#: Hadoop without its native library starts a ``chmod`` for every file it makes in a local folder, and until that runs the process stands
+#: for all of the JVM's memory once more.  So a working table has no files beside its parts; what a ``.crc`` file told, the pages' checksums do.
+WRITE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "parquet.page.write-checksum.enabled": "true"}
+READ = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and no executor is needed again."""
     path = f"{shared_dir(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**WRITE).parquet(path)
     _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).options(**READ).parquet(path)
     out._brindle_path = path
     return out
 
