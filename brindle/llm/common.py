@@ -7,6 +7,7 @@ bytes, and none of them occurs inside a multi-byte UTF-8 character, so it is use
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -162,6 +163,13 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: a worker lives on between tasks and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def in_pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, in batches whose strings have about ``most`` bytes at most, or one row."""
     for batch in batches:
@@ -179,4 +187,4 @@ def in_pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Ite
                 begin, held = i, 0
             held += n
         yield batch.slice(begin)
-    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
+    give_back()

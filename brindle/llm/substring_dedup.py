@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U, as_bytes, cut, drop_cut, mix, small
+from brindle.llm.common import U, as_bytes, cut, drop_cut, give_back, mix, small
 from brindle.llm.suffix_arrays import eights, shared_prefixes, suffix_array
 
 GRAM = 16
@@ -196,10 +196,12 @@ def shortest_documents(names: list[bytes], docs: np.ndarray, grams: np.ndarray,
     within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     at = np.full(len(t), -1, np.int64)
     at[np.repeat(begins, each) + within] = np.repeat(offset[some], each) + within
+    del within
     order = suffix_array(t, length)
     order = order[at[order] >= 0]
     run = np.flatnonzero(~np.r_[False, shared_prefixes(t, order, length)[1:]])
     string = at[order]
+    del at
     out[string] = np.repeat(np.minimum.reduceat(out[string], run), np.diff(np.append(run, len(order))))
     return offset, out
 
@@ -230,8 +232,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
     whole = F.col("text").cast("binary") if carry else sha
     out_name = "kept" if carry else "kept_sha256"
     row = ["row"] if carry else []
-    settled = named.where(size >= length).join(gone, is_copy, "left_semi").select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), blank.alias(out_name), *row)
-    aside = named.where(F.col("doc_id").isNull() | (size < length)).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias(out_name), *row)
+    # one pass has the rows that need no bucket: copies go whole, those without an id or with too few bytes stay
+    copied = F.col("copy_id").isNotNull() & (size >= length)
+    none = F.lit(0).cast("long")
+    aside = named.join(gone, is_copy, "left").where(F.col("doc_id").isNull() | (size < length) | copied)
+    aside = aside.select("doc_id", size.alias("n_bytes"), F.when(copied, size).otherwise(none).alias("n_removed"), F.when(copied, 1).otherwise(none).alias("n_spans"), F.when(copied, blank).otherwise(whole).alias(out_name), *row)
 
     rest = hashed.join(gone, is_copy, "left_anti")
     buckets = max(1, -(-docs.count() // bucket_docs))
@@ -280,10 +285,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
             ends = np.cumsum(np.frombuffer(n, np.int32)).tolist()
             seen.append(np.array([number.setdefault(x[a:b], len(number)) for a, b in zip([0, *ends], ends)], np.int64))
         names, every = list(number), np.concatenate(seen)
+        del text, number  # the contexts are in names
         docs_, grams_ = np.full(len(names), np.iinfo(np.int64).max), np.zeros(len(names), np.int64)
         np.minimum.at(docs_, every, np.concatenate([np.frombuffer(d, np.int64) for d in lo]))
         grams_[every] = np.concatenate([np.frombuffer(m, np.int64).reshape(3, -1)[2] for m in rest_])
         offset, least = shortest_documents(names, docs_, grams_, length)
+        give_back()  # what sorting took
         ends = np.append(offset[1:], len(least))
         edge = np.r_[True, least[1:] != least[:-1]]
         edge[offset] = True
@@ -342,7 +349,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, bucke
     found = placed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(contexts, BLOBS).groupBy("shard").applyInArrow(strings, BLOBS)
     answers = told.unionByName(found)
     kept = placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(removed, aside.schema)
-    return kept.unionByName(settled).unionByName(aside)
+    return kept.unionByName(aside)
 
 
 def strip_stage(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:

@@ -16,6 +16,11 @@ from __future__ import annotations
 import numpy as np
 
 
+def _places(n: int) -> type:
+    """The type that holds places of a text of n bytes."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def smaller_types(t: np.ndarray) -> np.ndarray:
     """Whether the suffix at i is smaller than that at i + 1; the last one is larger than the empty suffix."""
     n = len(t)
@@ -23,7 +28,8 @@ def smaller_types(t: np.ndarray) -> np.ndarray:
     if n < 2:
         return out
     up, same = t[:-1] < t[1:], t[:-1] == t[1:]
-    decides = np.where(same, n, np.arange(n - 1))
+    kind = _places(n)
+    decides = np.where(same, kind(n), np.arange(n - 1, dtype=kind))
     at = np.minimum.accumulate(decides[::-1])[::-1]  # the next place where neighbours differ
     out[:-1] = np.where(at < n, up[np.minimum(at, n - 2)], False)
     return out
@@ -42,9 +48,10 @@ def _spread(places: np.ndarray, chars: np.ndarray, into: list[list[np.ndarray]])
 
 def _runs(t: np.ndarray) -> np.ndarray:
     """How many bytes equal to each place's own stand right before it."""
-    place = np.arange(len(t))
-    begins = np.where(np.r_[True, t[1:] != t[:-1]], place, 0)
-    return (place - np.maximum.accumulate(begins)).astype(np.int32)
+    kind = _places(len(t))
+    place = np.arange(len(t), dtype=kind)
+    begins = np.where(np.r_[True, t[1:] != t[:-1]], place, kind(0))
+    return place - np.maximum.accumulate(begins, out=begins)
 
 
 def _along(first: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -54,7 +61,7 @@ def _along(first: np.ndarray, run: np.ndarray) -> np.ndarray:
     if most > 32:  # long runs of one byte: all their places at once
         times = back + 1
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return (np.repeat(first, times) - step)[np.argsort(step, kind="stable")]
+        return (np.repeat(first, times) - step)[np.argsort(step, kind="stable")].astype(first.dtype)
     out, live = [first], first
     for k in range(1, most + 1):
         goes_on = back >= k
@@ -72,7 +79,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[list[np.
     _spread(lms, t[lms], seeds)
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     last = len(t) - 1
-    larger[t[last]].append(np.array([last]))  # the empty suffix comes first of all
+    larger[t[last]].append(np.array([last], lms.dtype))  # the empty suffix comes first of all
     run = _runs(t)
 
     def induce(now: np.ndarray, kind: bool, c: int, into: list[list[np.ndarray]]) -> None:
@@ -83,18 +90,19 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[list[np.
         other = chars != c
         _spread(now[other], chars[other], into)
 
-    none = np.empty(0, np.int64)
+    none = np.empty(0, lms.dtype)
     up, down = [none] * 256, [none] * 256
-    for c in range(256):
+    for c in range(256):  # what a bucket was dealt is let go once it is in order
         if larger[c]:
-            up[c] = _along(np.concatenate(larger[c]), run)
+            up[c], larger[c] = _along(np.concatenate(larger[c]), run), []
             induce(up[c], False, c, larger)
         if seeds[c]:
-            induce(np.concatenate(seeds[c]), False, c, larger)
+            now, seeds[c] = np.concatenate(seeds[c]), []
+            induce(now, False, c, larger)
     smaller: list[list[np.ndarray]] = [[] for _ in range(256)]
     for c in range(255, -1, -1):
         if smaller[c]:
-            down[c] = _along(np.concatenate(smaller[c]), run)
+            down[c], smaller[c] = _along(np.concatenate(smaller[c]), run), []
             induce(down[c], True, c, smaller)
         if len(up[c]):
             induce(up[c][::-1], True, c, smaller)
@@ -139,6 +147,14 @@ def _doubled(names: np.ndarray, steps: int) -> np.ndarray:
     return order
 
 
+def _sorted_substrings(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """LMS places in the order of their substrings; what the pass held is let go before the next one."""
+    falling = np.concatenate(_induce(t, small, lms)[1][::-1])
+    is_lms = np.zeros(len(t), bool)
+    is_lms[lms] = True
+    return falling[is_lms[falling]][::-1]
+
+
 def suffix_array(text: bytes | np.ndarray, depth: int | None = None) -> np.ndarray:
     """Places of all suffixes, in order by their first ``depth`` bytes (all bytes if None)."""
     t = np.frombuffer(text, np.uint8) if isinstance(text, (bytes, bytearray)) else text
@@ -146,18 +162,14 @@ def suffix_array(text: bytes | np.ndarray, depth: int | None = None) -> np.ndarr
     if n < 2:
         return np.arange(n)
     small = smaller_types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_places(n))
     if len(lms) > 1:
-        _, down = _induce(t, small, lms)
-        falling = np.concatenate(down[::-1])
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        order = falling[::-1]
-        order = order[is_lms[order]]
+        order = _sorted_substrings(t, small, lms)
         names, kinds = _names(t, lms, order)
         if kinds < len(lms):  # LMS places are two bytes apart or more
             order = lms[_doubled(names, len(lms) if depth is None else depth // 2 + 2)]
         lms = order
+        del names, order
     up, down = _induce(t, small, lms)
     return np.concatenate([x for c in range(256) for x in (up[c], down[c][::-1])])
 
@@ -178,7 +190,7 @@ def shared_prefixes(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     Worked out in text order, by each place's predecessor (permuted common prefixes, cut off at ``length``): neighbouring places mostly
     have neighbouring predecessors, so memory is read in order.
     """
-    before = np.full(len(t), -1, np.int64)
+    before = np.full(len(t), -1, order.dtype)
     before[order[1:]] = order[:-1]
     places = np.flatnonzero(before >= 0)
     x, live = eights(t), places
